@@ -52,7 +52,6 @@ RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
 )
 ADDED = ["spans", "n_assign", "n_access", "n_hex"]
-_ROW = ["_key"]
 
 
 def postings(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, text_col: str = "text", key_col: str = "_key") -> DataFrame:
@@ -120,12 +119,12 @@ def spans_of(text: Column, rule: SecretRule, order: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with `spans`: structs (start, order, end, kind) in that order."""
     docs = docs.drop(*ADDED)
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).cast("string").alias("i"), F.xxhash64(text_column(docs, text_col)).alias("t")))
-    keyed = keyed.withColumn("_key", F.xxhash64("_key.i", "_key.t"))
+    text = text_column(docs, text_col)
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.xxhash64(docs[id_col], text).alias("_key"))
     with_queries = [r for r in rules if r.queries()]
-    found = candidates(postings(keyed, rules, text_col=text_col), rules)
+    found = candidates(postings(docs.select(text.alias("_text"), F.xxhash64(docs[id_col], text).alias("_key")), rules, text_col="_text"), rules)
     joined = keyed.join(found, "_key", "left")
-    text = text_column(joined, text_col)
+    text = F.coalesce(F.col("_doc")[text_col].cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     spans = []
     for order, rule in enumerate(rules):
@@ -133,7 +132,7 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str
         if rule in with_queries:
             here = F.when(F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), rule.kind), here).otherwise(none)
         spans.append(here)
-    return joined.select(*docs.columns, F.array_sort(F.concat(*spans)).alias("spans"))
+    return joined.select("_doc.*", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,6 +150,7 @@ def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, mark: st
 
     rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     changed = F.size("spans") > 0
-    out = found.withColumn("_new", F.when(changed, rest).otherwise(text)).withColumn("_changed", changed)
-    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_changed"), F.char_length("_new").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    out = found.select(F.struct(*(found[c] for c in docs.columns if c not in ADDED)).alias("_doc"), F.when(changed, rest).otherwise(text).alias("_new"), changed.alias("_changed"))
+    old = lambda c: F.col("_doc")[c]
+    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_changed"), F.char_length("_new").cast(t)).otherwise(old(c)).alias(c) if c == "n_chars" else old(c).alias(c) for c, t in docs.dtypes if c not in ADDED]
     return out.select(*columns)

@@ -142,20 +142,20 @@ def with_shards(docs: DataFrame, *, n_shards: int = N_SHARDS, id_col: str = "doc
     """The documents with ADDED columns; the text only if it is to stay."""
     docs = docs.drop(*ADDED)
     text = text_column(docs, text_col)
-    stay = [c for c in docs.columns if keep_text or c != text_col]
-    rows = docs.select(*stay, order_key(text).alias("_key"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    stay = F.struct(*(docs[c] for c in docs.columns if keep_text or c != text_col)).alias("_doc")
+    rows = docs.select(stay, docs[id_col].alias("_id"), order_key(text).alias("_key"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     groups = kept(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows")), "shard-groups")
     _, keys = minimax_cuts(groups, n_shards)
     n_rows = groups.agg(F.sum("n_rows").alias("n")).first()["n"] or 0
     n_buckets = max(least_buckets, -(-n_rows // bucket_rows))
     shard = sum((F.when(F.col("_key") > F.lit(k), 1).otherwise(0) for k in keys), F.lit(0)).cast("int")
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.col("_key")), F.lit(n_buckets)).cast("int")
-    rows = rows.select(*stay, "_key", "size", "text_crc32", F.lit("bytes").alias("law"), shard.alias("shard"), bucket.alias("_bucket"))
+    bucket = F.pmod(F.xxhash64("_id", "_key"), F.lit(n_buckets)).cast("int")
+    rows = rows.select("_doc", "_id", "_key", "size", "text_crc32", shard.alias("shard"), bucket.alias("_bucket"))
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     # n_shards times n_buckets rows at most, about 24 for each 100,000 rows of the corpus
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("shard", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(F.col(id_col), "_key"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_id", "_key"))
     rows = rows.withColumn("_rank", rank).join(before, ["shard", "_bucket"])
     slot = F.col("_before") + F.col("_rank") - 1
-    return rows.select(*stay, "size", "text_crc32", "law", "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("_doc.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
