@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, secrets, sharding, warc
+from . import byte_bpe, decontaminate, kneser_ney, quality_rules, secrets, sharding, warc
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return kneser_ney.classified(docs, table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.with_shards(docs).select("doc_id", *sharding.ADDED)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), warc.archive_path(spark))
     return warc.read_summaries(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +60,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_sharding": op2_sharding,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op6_secret_scan": op6_secret_scan,
     "op9_decontamination": op9_decontamination,
