@@ -202,7 +202,7 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "token_ids", out_col
     return encoded.mapInArrow(work, schema)
 
 
-def digests(encoded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes."""
+def digests(encoded: DataFrame, *, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes; the ids if they are to stay."""
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary")
-    return encoded.select(id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select(id_col, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["token_ids"] if keep_ids else []))
