@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
-from .common import small_batches
+from .common import settled, small_batches
 
 ADDED = T.StructType().add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 _WORDS = "shard int, block long, check long, words binary"
@@ -102,7 +102,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     """The documents (without the text, unless it is to stay) with token_ids, and decoded: the bytes that those ids stand for."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*ADDED.names)
+    docs = settled(docs.drop(*ADDED.names))
     stay = [c for c in docs.columns if keep_text or c != text_col]
     n_shards = n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // shard_blocks)
 

@@ -42,3 +42,11 @@ def kept(df: DataFrame, what: str, *, by: list[str] | None = None) -> DataFrame:
 def text_column(df: DataFrame, name: str = "text"):
     """The text, null as the empty string."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, such that reading it twice gives the same rows in the same partitions and order: itself where it only
+    reads and maps, and a written table where its plan has a shuffle, whose partitions may be merged or ordered anew."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = ("hashpartitioning(", "rangepartitioning(", "RoundRobinPartitioning(", "SinglePartition", "InMemoryTableScan", "Scan ExistingRDD")
+    return kept(df, "settled") if any(x in plan for x in moved) else df

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
 from .bytetext import LEADS, column_bytes
-from .common import kept, small_batches, text_column
+from .common import kept, settled, small_batches, text_column
 
 ORDER, BITS = 5, 12
 QUANTILE = 0.995
@@ -174,10 +174,10 @@ def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, keep_text: bool = False, n_shards: int | None = None) -> DataFrame:
-    """The documents with n_scored (characters) and log2_prob, their sum."""
+    """The documents with n_scored (characters) and log2_prob, their sum (null for none, or without a model)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_scored", "log2_prob")
+    docs = settled(docs.drop("n_scored", "log2_prob"))
     stay = [c for c in docs.columns if keep_text or c not in (text_col, lang_col)]
     use = docs.select(F.struct(*(docs[c] for c in stay)).alias("_doc"), text_column(docs, text_col).alias("_text"), docs[lang_col].cast("string").alias("_lang"))
     n_shards = n_shards or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 4)
@@ -269,9 +269,9 @@ def _summed(table: pa.Table, known: tuple[list, list] | None, order: int, step:
         found, starts = grams_of(column.slice(first, last - first), order)
         if known and len(found):
             total = np.concatenate([[0.0], np.cumsum(logs[lookup(found)])])
-            log = pa.array(total[starts[1:]] - total[starts[:-1]], pa.float64())
+            log = pa.array(total[starts[1:]] - total[starts[:-1]], pa.float64(), mask=starts[1:] == starts[:-1])
         else:
-            log = pa.array([None if not known else 0.0] * (last - first), pa.float64())
+            log = pa.nulls(last - first, pa.float64())
         part = table.slice(first, last - first).select(["_doc"])
         out.append(part.append_column("n", pa.array(np.diff(starts), pa.int64())).append_column("log", log))
         first = last
