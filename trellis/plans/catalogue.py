@@ -297,7 +297,7 @@ ORACLE_SQL: dict[str, str] = {
     "window_size_stats": _BASE + "SELECT building_id, round(avg(2 * hw / 100), 9) AS mean, round(stddev_pop(2 * hw / 100), 9) AS std FROM instances WHERE cls = 'window' GROUP BY 1",
     "smoothed_histogram": _BASE + _axis("rows", "cy") + "SELECT building_id, bin, CAST(n AS BIGINT) AS n, round(s, 9) AS smoothed FROM rows_smooth",
     "facade_grammar": _BASE + _FIT + "SELECT building_id, n_floors, n_columns, n_windows, n_doors, round(window_mean, 6) AS window_mean, round(window_std, 6) AS window_std, door_floor_idx, door_x_center, round(gable_y_end, 6) AS gable_y_end, round(floor_height_m, 6) AS floor_height_m, round(window_w_mean_m, 6) AS window_w_mean_m, round(gable_prominence_m, 6) AS gable_prominence_m, n_floors_matches_bag FROM fitted",
-    "peak_clusters": _BASE + _FIT + "SELECT building_id, CAST(pos AS INT) AS "at", round(center, 6) AS center FROM rows_peaks JOIN fitted USING (building_id)",
+    "peak_clusters": _BASE + _FIT + "SELECT building_id, CAST(pos AS INT) AS \"at\", round(center, 6) AS center FROM rows_peaks JOIN fitted USING (building_id)",
     "floor_match": _BASE + _FIT + "SELECT CASE WHEN n_floors_matches_bag THEN 'yes' WHEN NOT n_floors_matches_bag THEN 'no' ELSE 'unknown' END AS matches, count(*) AS n FROM fitted GROUP BY 1",
     "features_csv": _BASE + _FIT + "SELECT i.building_id, CAST(ord AS INT) AS ord, cls, score, cx / 100 AS cx_norm, cy / 100 AS cy_norm, n_floors, n_columns FROM instances i JOIN fitted USING (building_id)",
     "geo_roundtrip": _BASE + f"SELECT building_id, round(CAST({geo.LON0!r} AS DOUBLE) + {_poly(geo.TO_LON, _DX, _DY)} / 3600, 6) AS lon, round(CAST({geo.LAT0!r} AS DOUBLE) + {_poly(geo.TO_LAT, _DX, _DY)} / 3600, 6) AS lat FROM buildings",
