@@ -123,9 +123,9 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     texts = family(rng, 60, base, 2) + family(rng, 60, other, 6) + ["a b c d e " * 10, "a b c d e " * 12, "a b c d e " * 40]
     rows = [*enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for few, large in ((16, 64), (0, 4)):
-        monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+    for large, chunk in ((8192, 512), (8192, 7), (4, 512)):
         monkeypatch.setattr(near_dedup, "LARGE", large)
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
         check_classes(near_dedup.near_duplicates(docs).collect(), rows)
 
 

@@ -12,10 +12,13 @@ of their similarity. A process stops as soon as its time passes the last registe
 each give keys; at similarity 0.8 a pair shares none of them with a probability below 6e-6.
 
 Copies are first made one node by digest. Nodes that share a key are never paired with one another outright: each bucket
-compares its members with one leader, and links make components. Buckets whose members then lie in
-several components go on with other leaders, while all pairs across components would be
-many; as soon as these are few, they are all compared. Every link that the keys find is so tested or lies within a
-component. Candidates are verified on their texts, counts and all.
+compares its members with one leader, and links make components. What remains are buckets whose members lie in several
+components. Each is dealt in chunks of at most `CHUNK` members, a task has the texts of two chunks at a time and
+counts all overlaps across components exactly; it gives only the links that join components further, at most one for each member. A bucket
+of more than `LARGE` members that still lie in several components holds texts that are alike but mostly not enough: it is
+parted by a second and then a third shared key (a pair at 0.8 that shares one key shares no other with a
+probability below 8e-6) and goes on with another leader, before chunks are compared. Every link that the keys find is so tested or lies
+within a component. All comparisons are made on the texts, counts and all.
 
 A text without words has no shingles and is linked to its exact copies only; a null text is linked to nothing. Null
 ids and repeated rows are ordinary rows. Columns named like the results are replaced. Empty tables give empty results.
@@ -38,8 +41,10 @@ from .components import components
 SHINGLE, LEAST_NUMERATOR, LEAST_DENOMINATOR = 5, 4, 5
 LEAST = LEAST_NUMERATOR / LEAST_DENOMINATOR
 BANDS, ROWS = 40, 6
-#: All pairs across components are compared once they are at most so many times the bucket members.
-FEW_PAIRS = 2
+#: Members of a bucket that one task compares with as many others.
+CHUNK = 512
+#: Buckets of more members than this are parted by further keys, in at most so many turns.
+LARGE, MOST_TURNS = 8192, 2
 ADDED = ["class_id", "class_rows"]
 _U = np.uint64
 
@@ -154,36 +159,89 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     tested = kept(_verify(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts), "tested")
     links = tested.where("linked").select("a", "b")
     members, turn = members.select("key", "node"), 0
+    roots = kept(components(links), "roots")
     while True:
-        roots = kept(components(links), "roots")
         placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        members = kept(placed.join(mixed, "key", "left_semi"), "members")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        members = kept(placed.join(mixed, "key"), "members")
         turn += 1
-        sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        row = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)).alias("pairs")).first()
-        if not row["pairs"]:
+        if turn > MOST_TURNS or not members.where(F.col("n") > LARGE).limit(1).count():
             break
-        last = row["pairs"] <= max(FEW_PAIRS * row["members"], 10_000)
-        if last:
-            right = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = members.withColumnRenamed("node", "a").join(right, "key").where("a < b and root <> root_b").select("a", "b")
-        else:
-            draw = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "root")
-            leaders = members.groupBy("key").agg(F.min(draw).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
-            pairs = members.join(leaders, "key").where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
-        pairs = pairs.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        tested = tested.unionByName(kept(_verify(pairs, texts), "tested"))
-        links = tested.where("linked").select("a", "b")
+        members = kept(_parted(members, nodes.select(node, "keys")), "members")
+        draw = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "root")
+        leaders = members.groupBy("key").agg(F.min(draw).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
+        pairs = members.join(leaders, "key").where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+        links = links.unionByName(kept(_verify(pairs.distinct(), texts), "tested").where("linked").select("a", "b"))
+        roots = kept(components(links), "roots")
         members = members.select("key", "node")
-        if last:
-            roots = kept(components(links), "roots")
-            break
+    more = kept(_chunks(members, texts).groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long"), "links")
+    if more.limit(1).count():
+        roots = kept(components(links.unionByName(more)), "roots")
     rooted = nodes.select(node, "digest", "id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n_rows").alias("class_rows"))
     return kept(rooted.join(least, "root").select("digest", "root", "class_id", "class_rows"), "classes")
 
 
+def _parted(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """The members, those of large buckets under each pair of their bucket's key and another of their keys."""
+    large = F.col("n") > LARGE
+    other = members.where(large).join(keys, "node").select("key", "node", "root", F.explode("keys").alias("k2")).where("k2 <> key")
+    both = other.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "node", "root").distinct()
+    mixed = both.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return members.where(~large).select("key", "node", "root").unionByName(both.join(mixed, "key", "left_semi"))
+
+
+def _chunks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members' texts, once for each pair of chunks (i, j) of their bucket that theirs is one of."""
+    n_chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("node", "key"), n_chunks).cast("int")
+    rows = members.join(texts, "node").select("key", "node", "root", "text", mine.alias("c"), n_chunks.alias("m"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return rows.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).alias("right"), "node", "root", "text")
+
+
+def overlap_table(column: pa.Array | pa.ChunkedArray, slab: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of the texts the sums of the lesser counts, and each text's sum of counts."""
+    rows, grams, counts, n = multisets(column)
+    # the k-th copy of a shingle is an element of its own, so that overlaps of counts are overlaps of sets
+    copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    element, row = mix64(np.repeat(grams, counts) + copy.astype(_U) * _U(0x8EBC6AF09C88C6E3)), np.repeat(rows, counts)
+    _, number, many = np.unique(element, return_inverse=True, return_counts=True)
+    shared = many[number] > 1
+    dense = np.cumsum(many > 1) - 1
+    row_shared, number = row[shared], dense[number[shared]]
+    order = np.argsort(number, kind="stable")
+    row_shared, number = row_shared[order], number[order]
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, slab):
+        first, last = np.searchsorted(number, (a, a + slab))
+        there = np.zeros((n, slab), np.float32)
+        there[row_shared[first:last], number[first:last] - a] = 1
+        out += there @ there.T
+    return out.astype(np.int64), np.bincount(row, minlength=n)
+
+
+def _compared(key, table):
+    """Links between the components in two chunks: enough of them to join whatever is linked."""
+    common, sizes = overlap_table(table.column("text"))
+    linked = LEAST_DENOMINATOR * common >= LEAST_NUMERATOR * (sizes[:, None] + sizes[None, :] - common)
+    names, place = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    linked &= place[:, None] < place[None, :]
+    node, root, out = table.column("node").to_numpy(), list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in np.argwhere(linked).tolist():
+        x, y = find(int(place[a])), find(int(place[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[a]), int(node[b])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def _seed(nodes: DataFrame) -> int:
     """A seed for which no two digests have the same 64-bit number."""
     seed = 0
