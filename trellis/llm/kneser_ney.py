@@ -6,10 +6,12 @@ its suffix that number masked. The model is trained on trusted text: documents t
 Every fifth of them, by hash, is held out; a language's threshold is a quantile of the perplexities of its held-out
 documents, and documents above it are rejected.
 
-Counts are summed map-side by blocks, then by Spark. All documents' distinct n-grams are gathered in shards, and
-joined order by order with the count tables, sharded by n-gram and by context: p(gram) = discounted count of
-the gram + backoff weight of its context times p(suffix). The scored n-grams go back to the blocks of documents, in
-which each document's log probabilities are summed. No table of n-grams goes to the driver, and none is broadcast.
+Counts are summed map-side by blocks, then by Spark. All documents' distinct n-grams are gathered in shards and joined
+with the count tables: p(gram) = discounted count of the gram + backoff weight of its context times p(suffix). The lower
+orders, of which there are far fewer n-grams, are joined one by one by gram, context and suffix. The highest is
+sharded by the characters between the first and the last, which a gram, its context and its suffix have in common, so
+that one join of shards has all three. The scored n-grams go back to the blocks of documents, in which each document's log
+probabilities are summed. No table of n-grams goes to the driver, and none is broadcast.
 
 Trusted ids are broadcast while there are at most `few_ids` (8 bytes each), and joined by a shuffle beyond.
 A language without held-out documents has no threshold: its documents are kept (perplexity is null without a model).
@@ -138,7 +140,7 @@ def discounts(levels: DataFrame) -> DataFrame:
 
 
 def probabilities(grams: DataFrame, levels: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram and log2 of its last character's probability after the others, for the distinct grams given."""
+    """lang, gram and p, its last character's probability after the others, for the distinct grams given."""
     known = discounts(levels).withColumnRenamed("lang", "_lang")
     least = None
     for k in range(1, order + 1):
@@ -163,7 +165,7 @@ def probabilities(grams: DataFrame, levels: DataFrame, order: int = ORDER) -> Da
         p = F.when(F.col("total") > 0, F.coalesce("above", F.lit(0.0)) / F.col("total") + F.col("backoff") * lower).otherwise(lower)
         wanted = wanted.select("lang", "gram", p.alias("p"))
         least = wanted.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-    return wanted.select("lang", "gram", F.log2("p").alias("log2_prob"))
+    return wanted
 
 
 def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -182,55 +184,54 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
     use = docs.select(F.struct(*(docs[c] for c in stay)).alias("_doc"), text_column(docs, text_col).alias("_text"), docs[lang_col].cast("string").alias("_lang"))
     n_shards = n_shards or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 4)
 
+    inner, suffix_mask = (1 << (BITS * (order - 2))) - 1, (1 << (BITS * (order - 1))) - 1
+
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
             check = checksum(table, "_text")
             for lang, parts in _by_language(table, "_text", "_lang", order):
                 grams = np.unique(np.concatenate([np.unique(p) for p in parts]))
-                shard = _shard(grams, n_shards)
+                shard = _shard((grams >> BITS) & inner, n_shards)
                 for s in np.unique(shard):
                     mine = grams[shard == s]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((int(s), pa.int32()), (block, pa.int64()), (check, pa.int64()), (lang, pa.string()), (squeezed(np.diff(mine, prepend=0)), pa.binary()))], names=["shard", "block", "check", "lang", "grams"])
 
-    def merged(key, table):
-        out: dict[str | None, list[np.ndarray]] = {}
+    def suffixes(key, table):
+        out: dict[str | None, np.ndarray] = {}
         for lang, data in zip(table.column("lang").to_pylist(), table.column("grams").to_pylist(), strict=True):
-            have = out.setdefault(lang, [])
-            have.append(np.cumsum(released(data, np.int64)))
-            if len(have) >= 8:
-                out[lang] = [np.unique(np.concatenate(have))]
-        out = {k: np.unique(np.concatenate(v)) for k, v in out.items()}
+            mine = np.unique(np.cumsum(released(data, np.int64)) & suffix_mask)
+            out[lang] = np.union1d(out[lang], mine) if lang in out else mine
         langs = pa.concat_arrays([pa.array([k] * len(v), pa.string()) for k, v in out.items()])
         return pa.table({"lang": langs, "gram": pa.array(np.concatenate([*out.values()]), pa.int64())})
 
     lists = kept(use.select("_text", "_lang").mapInArrow(distinct, "shard int, block long, check long, lang string, grams binary"), "grams-by-block")
     languages = levels.where(F.col("k") == 1).select(F.col("lang").alias("_known")).distinct()
-    grams = lists.groupBy("shard").applyInArrow(merged, "lang string, gram long")
-    grams = grams.join(F.broadcast(languages), F.col("lang").eqNullSafe(F.col("_known")), "left_semi")
-    scores = kept(probabilities(grams, levels, order), "gram-scores").withColumn("log2_prob", F.col("log2_prob").cast("float"))
+    lower = lists.groupBy("shard").applyInArrow(suffixes, "lang string, gram long")
+    lower = lower.join(F.broadcast(languages), F.col("lang").eqNullSafe(F.col("_known")), "left_semi")  # a row for each language
+    lower = probabilities(lower, levels, order - 1)
+    known = discounts(levels).where(F.col("k") == order).drop("k").withColumnRenamed("lang", "_of")
+    top = levels.where(F.col("k") == order).join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("_of")))
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    middle = F.shiftright("gram", BITS)
+    tables = top.select(_shard_column(middle.bitwiseAND(F.lit(inner)), n_shards).alias("shard"), "lang", "gram", F.col("n").cast("double").alias("n"), cut.alias("cut"))
+    tables = tables.unionByName(lower.select(_shard_column(middle, n_shards).alias("shard"), "lang", "gram", F.col("p").alias("n"), F.lit(None).cast("double").alias("cut")))
 
     def back(key, left, right):
         langs = np.array([repr(x) for x in right.column("lang").to_pylist()], object)
-        grams, logs = right.column("gram").to_numpy(), right.column("log2_prob").to_numpy()
-        known = {}
-        for lang in dict.fromkeys(langs.tolist()):
-            mine = np.flatnonzero(langs == lang)
-            mine = mine[np.argsort(grams[mine])]
-            known[lang] = (grams[mine], logs[mine])
+        grams, values, cuts = (right.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "n", "cut"))
+        joined = {lang: _Joined(*(x[langs == lang] for x in (grams, values, cuts)), suffix_mask) for lang in dict.fromkeys(langs.tolist())}
         cells = []
-        for row in range(left.num_rows):
-            lang = repr(left.column("lang")[row].as_py())
-            if lang in known:
-                mine = np.cumsum(released(left.column("grams")[row].as_py(), np.int64))
-                cells.append((row, squeezed(known[lang][1][np.searchsorted(known[lang][0], mine)].astype(np.float32))))
+        for row, (lang, data) in enumerate(zip(left.column("lang").to_pylist(), left.column("grams").to_pylist(), strict=True)):
+            if (found := joined.get(repr(lang))) is not None:
+                cells.append((row, squeezed(found(np.cumsum(released(data, np.int64))).astype(np.float32))))
         at = pa.array([c[0] for c in cells], pa.int64())
         return left.select(["block", "check", "lang", "grams"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary()))
 
-    lined = lists.groupBy("shard").cogroup(scores.withColumn("shard", _shard_column(n_shards)).groupBy("shard")).applyInArrow(back, "block long, check long, lang string, grams binary, logs binary")
+    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, grams binary, logs binary")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(table)], pa.binary())], names=["block", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(table, small=True)], pa.binary())], names=["block", "rows"])
 
     def summed(key, left, right):
         known: dict[str | None, tuple[list, list]] = {}
@@ -240,7 +241,7 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
             pair[1].append(released(logs, np.float32))
         out = []
         for data in right.column("rows").to_pylist():
-            table = unpacked(data)
+            table = unpacked(data, small=True)
             if left.num_rows and {checksum(table, "_text")} != {*left.column("check").to_pylist()}:
                 raise ValueError(f"block {key} was read twice with different texts")
             langs = table.column("_lang").to_pylist()
@@ -278,14 +279,46 @@ def _summed(table: pa.Table, known: tuple[list, list] | None, order: int, step:
     return out
 
 
-def _shard(grams: np.ndarray, n_shards: int) -> np.ndarray:
-    return (grams ^ (grams >> 24)) % 1_000_003 % n_shards
+class _Joined:
+    """One shard and language: counts of the highest order, and the probabilities of the suffixes."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray, cuts: np.ndarray, suffix_mask: int):
+        self.mask = suffix_mask
+        top = np.flatnonzero(~np.isnan(cuts))
+        top = top[np.argsort(grams[top])]
+        self.grams, self.above = grams[top], values[top] - cuts[top]
+        self.contexts, first = np.unique(self.grams >> BITS, return_index=True)
+        self.totals = np.add.reduceat(values[top], first) if len(top) else values[:0]
+        self.backoffs = np.add.reduceat(cuts[top], first) / self.totals if len(top) else values[:0]
+        low = np.flatnonzero(np.isnan(cuts))
+        low = low[np.argsort(grams[low])]
+        self.suffixes, self.lower = grams[low], values[low]
+
+    @staticmethod
+    def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, values), max(0, len(keys) - 1))
+        return at, keys[at] == values if len(keys) else np.zeros(len(values), bool)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at, there = self._find(self.suffixes, grams & self.mask)
+        if not there.all():
+            raise ValueError("a suffix has no probability")
+        out = self.lower[at]
+        context, known = self._find(self.contexts, grams >> BITS)
+        at, seen = self._find(self.grams, grams)
+        if len(self.grams):
+            above = np.where(seen, self.above[at], 0.0)
+            out = np.where(known, above / self.totals[context] + self.backoffs[context] * out, out)
+        return np.log2(out)
+
+
+def _shard(middles: np.ndarray, n_shards: int) -> np.ndarray:
+    return (middles ^ (middles >> 24)) % 1_000_003 % n_shards
 
 
-def _shard_column(n_shards: int) -> Column:
+def _shard_column(middle: Column, n_shards: int) -> Column:
     """As _shard."""
-    g = F.col("gram")
-    return (g.bitwiseXOR(F.shiftright(g, 24)) % 1_000_003 % n_shards).cast("int")
+    return (middle.bitwiseXOR(F.shiftright(middle, 24)) % 1_000_003 % n_shards).cast("int")
 
 
 def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, few_ids: int = FEW_IDS, keep_text: bool = False) -> DataFrame:
