@@ -85,7 +85,11 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     named = first.withColumn("_has", F.col("_first").isNotNull()).select("sha256", F.coalesce("_first", F.lit(0)).alias("_first"), "_has")
     mine = F.coalesce(bodies["page_id"], F.lit(0)).alias("_first")
     bodies = bodies.select("sha256", mine, bodies["page_id"].isNotNull().alias("_has"), "payload")
-    bodies = bodies.join(named, ["sha256", "_first", "_has"], "left_semi").dropDuplicates(["sha256"])
+    bodies = bodies.join(named, ["sha256", "_first", "_has"], "left_semi")
+    # rows of one id and payload come more than once only if rows repeat: then, and only then, payloads move again
+    again = rows.groupBy("sha256", "page_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.limit(1).count():
+        bodies = bodies.dropDuplicates(["sha256"])
     bodies.select("sha256", "payload").write.parquet(f"{path}/payloads")
     return Archive(path)
 
