@@ -96,8 +96,8 @@ def fitted(instances: DataFrame, buildings: DataFrame, o: Options = DEFAULTS) ->
         "building_id", "n_floors", "n_columns", "row_centers", "col_centers",
         F.when(F.size(r) >= 2, F.zip_with(F.slice(r, F.lit(1), F.size(r) - 1), F.slice(r, F.lit(2), F.size(r) - 1), lambda a, b: (a + b) / 2)).otherwise(F.array().cast("array<double>")).alias("floor_splits"),
         "window_mean", "window_std", "n_windows", "n_doors",
-        F.when(F.size(r) > 0, nearest).alias("door_floor_idx"),
-        F.least(F.greatest(F.col("_door.x"), F.lit(0.0)), F.lit(1.0)).alias("door_x_center"),
+        F.when((F.size(r) > 0) & F.col("_door.y").isNotNull(), nearest).alias("door_floor_idx"),
+        F.when(F.col("_door.x").isNotNull(), F.least(F.greatest(F.col("_door.x"), F.lit(0.0)), F.lit(1.0))).alias("door_x_center"),
         F.when(gable > 0, gable).alias("gable_y_end"),
         F.col("w").alias("facade_width_m"), F.col("height_m").alias("facade_height_m"),
         (F.col("height_m") / F.col("n_floors")).alias("floor_height_m"),
