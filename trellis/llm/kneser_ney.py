@@ -10,8 +10,8 @@ Counts are summed map-side by blocks, then by Spark. All documents' distinct n-g
 with the count tables: p(gram) = discounted count of the gram + backoff weight of its context times p(suffix). The lower
 orders, of which there are far fewer n-grams, are joined one by one by gram, context and suffix. The highest is
 sharded by the characters between the first and the last, which a gram, its context and its suffix have in common, so
-that one join of shards has all three. The scored n-grams go back to the blocks of documents, in which each document's log
-probabilities are summed. No table of n-grams goes to the driver, and none is broadcast.
+that one join of shards has all three. Their scores, in the n-grams' order and with 16 significant bits, go back to the blocks
+of documents, which find their n-grams anew from the texts and sum each document's log probabilities. No table of n-grams goes to the driver, and none is broadcast.
 
 Trusted ids are broadcast while there are at most `few_ids` (8 bytes each), and joined by a shuffle beyond.
 A language without held-out documents has no threshold: its documents are kept (perplexity is null without a model).
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,6 @@ ORDER, BITS = 5, 12
 QUANTILE = 0.995
 FEW_IDS = 2_000_000
 ADDED = T.StructType().add("n_scored", "long").add("log2_prob", "double").add("perplexity", "double").add("threshold", "double").add("kept", "boolean")
-_SLOT_BITS = 21
 
 
 def grams_of(column: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -58,28 +58,38 @@ def grams_of(column: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np
     return out, starts
 
 
-class Lookup:
-    """Positions in a sorted array by a slot table; what shares a slot is searched for."""
+def _indexed(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams by a hash table, and each n-gram's place among them."""
+    found = pc.dictionary_encode(pa.array(grams))
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
-        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+def _pressed(grams: np.ndarray, order: int) -> bytes:
+    """Sorted n-grams, compressed character by character and byte by byte; of the first character, the steps."""
+    chars = ((grams[None, :] >> (BITS * np.arange(order - 1, -1, -1))[:, None]) & ((1 << BITS) - 1)).astype("<u2")
+    chars[0] = np.diff(chars[0], prepend=chars[0][:0].dtype.type(0))
+    return squeezed(chars.view(np.uint8).reshape(order, -1, 2).transpose(0, 2, 1))
+
+
+def _opened(data: bytes, order: int) -> np.ndarray:
+    """What _pressed was given."""
+    planes = released(data, np.uint8).reshape(order, 2, -1)
+    chars = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u2")[..., 0].astype(np.int64)
+    chars[0] = np.cumsum(chars[0])
+    return (chars << (BITS * np.arange(order - 1, -1, -1))[:, None]).sum(axis=0)
+
+
+def _pressed_logs(logs: np.ndarray) -> bytes:
+    """Floats rounded to 16 significant bits, compressed byte by byte."""
+    bits = (logs.astype("<f4").view("<u4") + np.uint32(0x80)) & np.uint32(0xFFFFFF00)
+    return squeezed(bits.view(np.uint8).reshape(-1, 4).T[1:])
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slots[self._slot(keys)]
-        off = np.flatnonzero(self.keys[at] != keys)
-        if len(off):
-            found = np.minimum(np.searchsorted(self.keys, keys[off]), len(self.keys) - 1)
-            if (self.keys[found] != keys[off]).any():
-                raise ValueError("a block was read twice with different texts")
-            at[off] = found
-        return at
+
+def _opened_logs(data: bytes) -> np.ndarray:
+    planes = released(data, np.uint8).reshape(3, -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, 1:] = planes.T
+    return out.view("<f4")[:, 0]
 
 
 def _by_language(table: pa.Table, text_col: str, lang_col: str, order: int, step: int = 2_000_000) -> Iterator[tuple[str | None, list[np.ndarray]]]:
@@ -190,16 +200,16 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
         for block, table in blocks(batches, "_text"):
             check = checksum(table, "_text")
             for lang, parts in _by_language(table, "_text", "_lang", order):
-                grams = np.unique(np.concatenate([np.unique(p) for p in parts]))
+                grams = np.unique(np.concatenate([_indexed(p)[0] for p in parts]))
                 shard = _shard((grams >> BITS) & inner, n_shards)
                 for s in np.unique(shard):
                     mine = grams[shard == s]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((int(s), pa.int32()), (block, pa.int64()), (check, pa.int64()), (lang, pa.string()), (squeezed(np.diff(mine, prepend=0)), pa.binary()))], names=["shard", "block", "check", "lang", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((int(s), pa.int32()), (block, pa.int64()), (check, pa.int64()), (lang, pa.string()), (_pressed(mine, order), pa.binary()))], names=["shard", "block", "check", "lang", "grams"])
 
     def suffixes(key, table):
         out: dict[str | None, np.ndarray] = {}
         for lang, data in zip(table.column("lang").to_pylist(), table.column("grams").to_pylist(), strict=True):
-            mine = np.unique(np.cumsum(released(data, np.int64)) & suffix_mask)
+            mine = np.unique(_opened(data, order) & suffix_mask)
             out[lang] = np.union1d(out[lang], mine) if lang in out else mine
         langs = pa.concat_arrays([pa.array([k] * len(v), pa.string()) for k, v in out.items()])
         return pa.table({"lang": langs, "gram": pa.array(np.concatenate([*out.values()]), pa.int64())})
@@ -223,22 +233,20 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
         cells = []
         for row, (lang, data) in enumerate(zip(left.column("lang").to_pylist(), left.column("grams").to_pylist(), strict=True)):
             if (found := joined.get(repr(lang))) is not None:
-                cells.append((row, squeezed(found(np.cumsum(released(data, np.int64))).astype(np.float32))))
+                cells.append((row, _pressed_logs(found(_opened(data, order)))))
         at = pa.array([c[0] for c in cells], pa.int64())
-        return left.select(["block", "check", "lang", "grams"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary()))
+        return left.select(["block", "check", "lang", "shard"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary()))
 
-    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, grams binary, logs binary")
+    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, shard int, logs binary")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(table, small=True)], pa.binary())], names=["block", "rows"])
 
     def summed(key, left, right):
-        known: dict[str | None, tuple[list, list]] = {}
-        for lang, grams, logs in zip(left.column("lang").to_pylist(), left.column("grams").to_pylist(), left.column("logs").to_pylist(), strict=True):
-            pair = known.setdefault(lang, ([], []))
-            pair[0].append(np.cumsum(released(grams, np.int64)))
-            pair[1].append(released(logs, np.float32))
+        known: dict[str | None, dict[int, bytes]] = {}
+        for lang, shard, logs in zip(left.column("lang").to_pylist(), left.column("shard").to_pylist(), left.column("logs").to_pylist(), strict=True):
+            known.setdefault(lang, {})[shard] = logs
         out = []
         for data in right.column("rows").to_pylist():
             table = unpacked(data, small=True)
@@ -247,7 +255,7 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
             langs = table.column("_lang").to_pylist()
             for lang in dict.fromkeys(langs):
                 mine = table.filter(pa.array([x == lang for x in langs])).combine_chunks()
-                out += _summed(mine, known.get(lang), order)
+                out += _summed(mine, known.get(lang), order, n_shards, inner)
         out = pa.concat_tables(out)
         return pa.table([*out.column("_doc").combine_chunks().flatten(), out.column("n"), out.column("log")], names=[*stay, "n_scored", "log2_prob"])
 
@@ -255,27 +263,35 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
     return lined.groupBy("block").cogroup(use.mapInArrow(ship, "block long, rows binary").groupBy("block")).applyInArrow(summed, schema)
 
 
-def _summed(table: pa.Table, known: tuple[list, list] | None, order: int, step: int = 2_000_000) -> list[pa.Table]:
-    """One language's documents with the sums of their n-grams' logs."""
-    if known:
-        grams, logs = np.concatenate(known[0]), np.concatenate(known[1]).astype(np.float64)
-        by = np.argsort(grams, kind="stable")
-        lookup, logs = Lookup(grams[by]), logs[by]
-    column, out, first = table.column("_text").combine_chunks(), [], 0
+def _summed(table: pa.Table, known: dict[int, bytes] | None, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:
+    """One language's documents of a block with the sums of their n-grams' logs; known: each shard's logs."""
+    column, pieces, first = table.column("_text").combine_chunks(), [], 0
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     _, offsets = column_bytes(column)
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, "right")) - 1)
-        found, starts = grams_of(column.slice(first, last - first), order)
-        if known and len(found):
-            total = np.concatenate([[0.0], np.cumsum(logs[lookup(found)])])
+        grams, starts = grams_of(column.slice(first, last - first), order)
+        pieces.append((first, last, starts, *_indexed(grams)))
+        first = last
+    if known:
+        grams = np.unique(np.concatenate([x[3] for x in pieces]))
+        shard, logs, met = _shard((grams >> BITS) & inner, n_shards), np.empty(len(grams)), 0
+        for s, data in known.items():
+            at = np.flatnonzero(shard == s)
+            logs[at] = _opened_logs(data)
+            met += len(at)
+        if met != len(grams):
+            raise ValueError("n-grams of a block have no score")
+    out = []
+    for first, last, starts, distinct, at in pieces:
+        if known and len(at):
+            total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(grams, distinct)][at])])
             log = pa.array(total[starts[1:]] - total[starts[:-1]], pa.float64(), mask=starts[1:] == starts[:-1])
         else:
             log = pa.nulls(last - first, pa.float64())
         part = table.slice(first, last - first).select(["_doc"])
         out.append(part.append_column("n", pa.array(np.diff(starts), pa.int64())).append_column("log", log))
-        first = last
     return out
 
 
@@ -333,7 +349,8 @@ def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), docs[id_col].alias("_key")).join(good, F.col("_key") == F.col("_id"), "left")
     train = rows.where(F.col("_fold") != 0).select(text_column_of(text_col).alias("text"), F.col("_row")[lang_col].cast("string").alias("lang"))
     counts = kept(gram_counts(train, text_col="text", lang_col="lang", order=order), "gram-counts")
-    levels = kept(model(counts, order), "gram-levels")
+    lower = kept(model(counts, order).where(F.col("k") < order), "gram-levels")
+    levels = counts.select(F.lit(order).alias("k"), "lang", "gram", "n").unionByName(lower)
     stay = [c for c in columns if keep_text or c != text_col]
     flat = rows.select(F.struct(*(F.col("_row")[c].alias(c) for c in stay)).alias("_stay"), F.col("_row")[lang_col].cast("string").alias("_l"), (F.col("_fold") == 0).alias("_held"), text_column_of(text_col).alias("_t"), F.col("_row")[lang_col].cast("string").alias("_lang_of"))
     flat = kept(scored(flat, levels, text_col="_t", lang_col="_lang_of", order=order), "document-scores")
