@@ -6,7 +6,7 @@ its suffix that number masked. The model is trained on trusted text: documents t
 Every fifth of them, by hash, is held out; a language's threshold is a quantile of the perplexities of its held-out
 documents, and documents above it are rejected.
 
-Counts are summed map-side by blocks, then by Spark. All documents' distinct n-grams are gathered in shards and joined
+Counts are summed map-side by blocks, then by shards of n-grams. All documents' distinct n-grams are gathered in shards and joined
 with the count tables: p(gram) = discounted count of the gram + backoff weight of its context times p(suffix). The lower
 orders, of which there are far fewer n-grams, are joined one by one by gram, context and suffix. The highest is
 sharded by the characters between the first and the last, which a gram, its context and its suffix have in common, so
@@ -106,24 +106,39 @@ def _by_language(table: pa.Table, text_col: str, lang_col: str, order: int, step
         yield lang, out
 
 
-def gram_counts(docs: DataFrame, *, text_col: str, lang_col: str, order: int) -> DataFrame:
-    """lang, gram and count over all the documents given; summed by block before the shuffle."""
+def gram_counts(docs: DataFrame, *, text_col: str, lang_col: str, order: int, n_shards: int | None = None) -> DataFrame:
+    """lang, gram and count over all the documents given; summed by block, then by shard of n-grams."""
+    n_shards, inner = n_shards or max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), (1 << (BITS * max(0, order - 2))) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks(batches, text_col):
             for lang, parts in _by_language(table, text_col, lang_col, order):
-                grams, many = np.empty(0, np.int64), np.empty(0, np.int64)
-                for part in parts:
-                    one, n = np.unique(part, return_counts=True)
-                    both, back = np.unique(np.concatenate([grams, one]), return_inverse=True)
-                    many = np.bincount(back, weights=np.concatenate([many, n]), minlength=len(both)).astype(np.int64)
-                    grams = both
-                for a in range(0, len(grams), 100_000):
-                    g, n = grams[a : a + 100_000], many[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
-
-    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(work, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                grams, many = _counted([(distinct, np.bincount(at, minlength=len(distinct))) for distinct, at in map(_indexed, parts)])
+                shard = _shard((grams >> BITS) & inner, n_shards)
+                for s in np.unique(shard):
+                    at = shard == s
+                    planes = many[at].astype("<u4").view(np.uint8).reshape(-1, 4).T
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((int(s), pa.int32()), (lang, pa.string()), (_pressed(grams[at], order), pa.binary()), (squeezed(planes), pa.binary()))], names=["shard", "lang", "grams", "counts"])
+
+    def total(key, table):
+        by: dict[str | None, list] = {}
+        for lang, data, counts in zip(table.column("lang").to_pylist(), table.column("grams").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            many = np.ascontiguousarray(released(counts, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+            by.setdefault(lang, []).append((_opened(data, order), many))
+        out = []
+        for lang, parts in by.items():
+            grams, many = _counted(parts)
+            out.append(pa.table({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams, "n": many}))
+        return pa.concat_tables(out)
+
+    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(work, "shard int, lang string, grams binary, counts binary")
+    return found.groupBy("shard").applyInArrow(total, "lang string, gram long, n long")
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all parts, sorted, and the sums of their counts."""
+    grams, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return grams, np.bincount(back, weights=np.concatenate([x[1] for x in parts]), minlength=len(grams)).astype(np.int64)
 
 
 def _mask(k: int) -> Column:
