@@ -36,6 +36,15 @@ class Options:
     max_depth: int = 20
     min_production_weight: int = 1
     dirichlet_concentration: float = 0.1
+    view_width: int = 1280
+    view_height: int = 960
+    view_fov_deg: float = 45.0
+    bbox_margin: float = 0.08
+    camera_height_m: float = 2.5
+    sky_margin_deg: float = 3.0
+    min_front_score: float = 0.3
+    min_box_overlap: float = 0.5
+    min_feature_score: float = 0.3
 
 
 DEFAULTS = Options()

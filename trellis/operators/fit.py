@@ -103,6 +103,7 @@ def fitted(instances: DataFrame, buildings: DataFrame, o: Options = DEFAULTS) ->
         (F.col("height_m") / F.col("n_floors")).alias("floor_height_m"),
         (F.col("window_mean") * F.col("w")).alias("window_w_mean_m"), (F.col("window_mean") * F.col("height_m")).alias("window_h_mean_m"),
         (F.col("height_m") - F.col("eaves_height_m")).alias("gable_prominence_m"),
+        F.col("construction_year").alias("bag_construction_year"), F.col("roof_type").alias("bag_roof_type"),
         F.col("floor_count").alias("bag_floor_count"), (F.col("n_floors") == F.col("floor_count")).alias("n_floors_matches_bag"),
     )
 

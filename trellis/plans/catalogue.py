@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trellis.config import DEFAULTS as O
-from trellis.functions import geo
+from trellis.functions import camera, geo
 from trellis.operators import facades, fit, grammar
-from trellis.sources import files, proxies
+from trellis.sources import files, proxies, sinks
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def audit_records(s: SparkSession, d: str) -> DataFrame:
 
 
 def features_csv(s: SparkSession, d: str) -> DataFrame:
-    return proxies.instances(s, d).join(_fit(s, d).select("building_id", "n_floors", "n_columns"), "building_id").select("building_id", "ord", "cls", "score", (F.col("cx") / 100).alias("cx_norm"), (F.col("cy") / 100).alias("cy_norm"), "n_floors", "n_columns")
+    return sinks.feature_rows(proxies.instances(s, d), _fit(s, d), _works(s, d))
 
 
 def smoothed_histogram(s: SparkSession, d: str) -> DataFrame:
@@ -107,14 +107,58 @@ def photo_clean_dedupe(s: SparkSession, d: str) -> DataFrame:
     return files.first_by(rows, "photo_id", "seq").select("photo_id", "seq", "value")
 
 
-def view_angles(s: SparkSession, d: str) -> DataFrame:
-    """Bearing, distance and pitch from each chosen photo to its front, on the ellipsoid."""
+def _views(s: SparkSession, d: str) -> DataFrame:
+    """Each chosen photo with its front's ends on the ellipsoid, and the distance, bearing and pitch of its view."""
     rows = _top(s, d).join(proxies.buildings(s, d).select("building_id", "height_m"), "building_id")
-    photo, middle = geo.to_lonlat(F.col("px"), F.col("py")), geo.to_lonlat(F.col("mx"), F.col("my"))
-    metres, bearing = geo.geodesic(photo, middle)
-    roof = F.degrees(F.atan2(F.col("height_m") - 2.5, metres))
-    pitch = F.when(metres < 1e-6, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), roof - F.lit(45.0 * 960 / 1280 / 2) + 3))
-    return rows.select("building_id", "photo_id", F.round(metres, 4).alias("metres"), F.round(bearing, 4).alias("bearing"), F.round(pitch, 4).alias("pitch"))
+    for name, x, y in (("p", "px", "py"), ("a", "ax", "ay"), ("b", "bx", "by")):
+        lon, lat = geo.to_lonlat(F.col(x), F.col(y))
+        rows = rows.withColumn(f"{name}_lon", lon).withColumn(f"{name}_lat", lat)
+    middle = (F.col("a_lon") + F.col("b_lon")) / 2, (F.col("a_lat") + F.col("b_lat")) / 2
+    metres, bearing = geo.geodesic((F.col("p_lon"), F.col("p_lat")), middle)
+    eye, ground = camera.vertical(F.lit(None).cast("double"), F.lit(0.0))
+    rows = rows.withColumn("metres", metres).withColumn("bearing", bearing).withColumn("low", ground - eye).withColumn("high", ground + F.col("height_m") - eye)
+    return rows.withColumn("pitch", camera.pitch_deg(F.col("metres"), F.col("high")))
+
+
+def view_angles(s: SparkSession, d: str) -> DataFrame:
+    return _views(s, d).select("building_id", "photo_id", F.round("metres", 4).alias("metres"), F.round("bearing", 4).alias("bearing"), F.round("pitch", 4).alias("pitch"))
+
+
+def _corners(s: SparkSession, d: str) -> DataFrame:
+    """The front's two ends, at the ground and at the roof, in pixels of each view."""
+    rows, at = _views(s, d), lambda p: (F.col(f"{p}_lon"), F.col(f"{p}_lat"))
+    points = [camera.pixel(at("p"), at(end), F.col(h), F.col("bearing"), F.col("pitch")) for end in "ab" for h in ("low", "high")]
+    return rows.select("building_id", "photo_id", F.array(*points).alias("points"))
+
+
+def view_corners(s: SparkSession, d: str) -> DataFrame:
+    rows = _corners(s, d).select("building_id", "photo_id", F.posexplode("points").alias("corner", "p"))
+    return rows.select("building_id", "photo_id", "corner", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+def projected_bbox(s: SparkSession, d: str) -> DataFrame:
+    return _corners(s, d).withColumn("box", camera.box(F.col("points"))).select("building_id", "photo_id", "box.*")
+
+
+def front_means(s: SparkSession, d: str) -> DataFrame:
+    """Means over all fitted fronts, one row: one global aggregation."""
+    return _fit(s, d).agg(F.count("*").alias("fronts"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("n_floors", "n_columns", "n_windows", "n_doors")])
+
+
+def class_means(s: SparkSession, d: str) -> DataFrame:
+    """Mean score of each class, and its mean number of detections over the fronts that have any detection."""
+    rows = proxies.instances(s, d)
+    fronts = rows.agg(F.countDistinct("building_id").alias("fronts"))
+    return rows.groupBy("cls").agg(F.count("*").alias("n"), F.avg("score").alias("score")).join(F.broadcast(fronts)).select("cls", F.round("score", 6).alias("mean_score"), F.round(F.col("n") / F.col("fronts"), 6).alias("per_front"))
+
+
+def bbox_buffer(s: SparkSession, d: str) -> DataFrame:
+    return files.buffered(s.sql("SELECT 4.88D AS min_lon, 52.37D AS min_lat, 4.89D AS max_lon, 52.38D AS max_lat"), 50.0).select(*[F.round(c, 7).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+
+
+def contact_sample(s: SparkSession, d: str) -> DataFrame:
+    """Twelve fronts for a sheet, by a hash of their id: the same ones in every run."""
+    return _fit(s, d).select("building_id", "n_floors", "n_columns").orderBy(F.xxhash64("building_id", F.lit(O.rng_seed)), "building_id").limit(12)
 
 
 def layout_rects(s: SparkSession, d: str) -> DataFrame:
@@ -167,7 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_records": audit_records,
     "window_size_stats": lambda s, d: proxies.instances(s, d).where("cls = 'window'").groupBy("building_id").agg(F.round(F.avg(2 * F.col("hw") / 100), 9).alias("mean"), F.round(F.stddev_pop(2 * F.col("hw") / 100), 9).alias("std")),
     "smoothed_histogram": smoothed_histogram,
-    "facade_grammar": lambda s, d: _rounded(_fit(s, d).select("building_id", "n_floors", "n_columns", "n_windows", "n_doors", "window_mean", "window_std", "door_floor_idx", "door_x_center", "gable_y_end", "floor_height_m", "window_w_mean_m", "gable_prominence_m", "n_floors_matches_bag"), "window_mean", "window_std", "gable_y_end", "floor_height_m", "window_w_mean_m", "gable_prominence_m"),
+    "fitted_fronts": lambda s, d: _rounded(_fit(s, d).select("building_id", "n_floors", "n_columns", "n_windows", "n_doors", "window_mean", "window_std", "door_floor_idx", "door_x_center", "gable_y_end", "floor_height_m", "window_w_mean_m", "gable_prominence_m", "n_floors_matches_bag"), "window_mean", "window_std", "gable_y_end", "floor_height_m", "window_w_mean_m", "gable_prominence_m"),
     "peak_clusters": lambda s, d: _fit(s, d).select("building_id", F.posexplode("row_centers").alias("at", "center")).select("building_id", "at", F.round("center", 6).alias("center")),
     "floor_match": lambda s, d: _fit(s, d).groupBy(F.when(F.col("n_floors_matches_bag"), "yes").when(~F.col("n_floors_matches_bag"), "no").otherwise("unknown").alias("matches")).agg(F.count("*").alias("n")),
     "features_csv": features_csv,
@@ -190,6 +234,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "archetype": lambda s, d: _sampled(s, d, top=6, each=2),
     "layout_rects": layout_rects,
     "view_angles": view_angles,
+    "view_corners": view_corners,
+    "projected_bbox": projected_bbox,
+    "front_means": front_means,
+    "class_means": class_means,
+    "summary_lines": lambda s, d: _fit(s, d).select("building_id", sinks.summary_line().alias("line")),
+    "bbox_buffer": bbox_buffer,
+    "contact_sample": contact_sample,
     "geo_roundtrip": lambda s, d: _rounded(proxies.buildings(s, d).select("building_id", geo.to_lonlat(F.col("x0"), F.col("y0"))[0].alias("lon"), geo.to_lonlat(F.col("x0"), F.col("y0"))[1].alias("lat")), "lon", "lat"),
 }
 
@@ -272,6 +323,36 @@ def _poly(terms, a: str, b: str) -> str:
 
 _DX, _DY = "((x0 - 155000) * CAST(1e-5 AS DOUBLE))", "((y0 - 463000) * CAST(1e-5 AS DOUBLE))"
 
+
+
+def _lonlat(x: str, y: str, name: str) -> str:
+    dx, dy = f"(({x} - 155000) * CAST(1e-5 AS DOUBLE))", f"(({y} - 463000) * CAST(1e-5 AS DOUBLE))"
+    return f"CAST({geo.LON0!r} AS DOUBLE) + {_poly(geo.TO_LON, dx, dy)} / 3600 AS {name}_lon, CAST({geo.LAT0!r} AS DOUBLE) + {_poly(geo.TO_LAT, dx, dy)} / 3600 AS {name}_lat"
+
+
+def _metres(a: str, b: str) -> tuple[str, str]:
+    """East and north in metres and the bearing, as in `geo.geodesic`."""
+    middle = f"radians(({a}_lat + {b}_lat) / 2)"
+    w = f"(1 - CAST({geo.E2!r} AS DOUBLE) * sin({middle}) * sin({middle}))"
+    east = f"(radians({b}_lon - {a}_lon) * {geo.SEMI_MAJOR} / sqrt({w}) * cos({middle}))"
+    north = f"(radians({b}_lat - {a}_lat) * CAST({geo.SEMI_MAJOR * (1 - geo.E2)!r} AS DOUBLE) / ({w} * sqrt({w})))"
+    turned = f"(degrees(atan2({east}, {north})) - degrees(radians({b}_lon - {a}_lon) * sin({middle})) / 2)"
+    return f"sqrt({east} * {east} + {north} * {north})", f"fmod(fmod({turned}, 360) + 360, 360)"
+
+
+_TO_MIDDLE, _TO_END = _metres("p", "m"), _metres("p", "e")
+_FOCAL = f"(CAST({O.view_width / 2} AS DOUBLE) / tan(radians(CAST({O.view_fov_deg / 2} AS DOUBLE))))"
+_VIEWS = f""", ends AS (SELECT t.building_id, t.photo_id, b.height_m, {_lonlat('px', 'py', 'p')}, {_lonlat('ax', 'ay', 'a')}, {_lonlat('bx', 'bj', 'b')} FROM top t JOIN buildings b USING (building_id)),
+middles AS (SELECT *, (a_lon + b_lon) / 2 AS m_lon, (a_lat + b_lat) / 2 AS m_lat FROM ends),
+turned AS (SELECT *, {_TO_MIDDLE[0]} AS metres, {_TO_MIDDLE[1]} AS bearing, height_m - CAST({O.camera_height_m} AS DOUBLE) AS high, CAST({-O.camera_height_m} AS DOUBLE) AS low FROM middles),
+views AS (SELECT *, CASE WHEN metres < 1e-6 THEN 0 ELSE greatest(0, degrees(atan2(high, metres)) - degrees(atan2(CAST({O.view_height / 2} AS DOUBLE), {_FOCAL})) + CAST({O.sky_margin_deg} AS DOUBLE)) END AS pitch FROM turned),
+four AS (SELECT *, 0 AS corner, a_lon AS e_lon, a_lat AS e_lat, low AS up FROM views UNION ALL SELECT *, 1, a_lon, a_lat, high FROM views UNION ALL SELECT *, 2, b_lon, b_lat, low FROM views UNION ALL SELECT *, 3, b_lon, b_lat, high FROM views),
+seen AS (SELECT building_id, photo_id, corner, up, radians(pitch) AS tilt, {_TO_END[0]} AS far, radians({_TO_END[1]} - bearing) AS turn FROM four),
+rays AS (SELECT *, far * cos(turn) * cos(tilt) + up * sin(tilt) AS depth, up * cos(tilt) - far * cos(turn) * sin(tilt) AS rise FROM seen),
+corners AS (SELECT building_id, photo_id, corner, CASE WHEN far >= 1e-6 AND depth > 1e-9 * sqrt(far * far + up * up) THEN CAST({O.view_width / 2} AS DOUBLE) + far * sin(turn) * ({_FOCAL} / depth) END AS x,
+ CASE WHEN far >= 1e-6 AND depth > 1e-9 * sqrt(far * far + up * up) THEN CAST({O.view_height / 2} AS DOUBLE) - rise * ({_FOCAL} / depth) END AS y FROM rays)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "building_edges": _BASE + "SELECT building_id, ax, ay, bx, bj AS by, normal_deg FROM edges",
     "classified_facades": _BASE + "SELECT building_id, ax, ay, bx, bj AS by, classification FROM classified",
@@ -296,9 +377,17 @@ ORACLE_SQL: dict[str, str] = {
     "audit_records": _BASE + f"SELECT c.building_id, CASE WHEN w.photo_id IS NULL THEN 'no_candidates' WHEN ratio > {O.max_occluder_ratio} THEN 'error' ELSE 'ok' END AS status, w.photo_id, round(abs(fmod(degrees(atan2(mx - px, my - py)) - (normal_deg + 180) + 1260, 360) - 180), 6) AS perp_deg, ratio AS occluder_ratio FROM canal c LEFT JOIN works w USING (building_id) LEFT JOIN photos p ON p.photo_id = w.photo_id ORDER BY 1",
     "window_size_stats": _BASE + "SELECT building_id, round(avg(2 * hw / 100), 9) AS mean, round(stddev_pop(2 * hw / 100), 9) AS std FROM instances WHERE cls = 'window' GROUP BY 1",
     "smoothed_histogram": _BASE + _axis("rows", "cy") + "SELECT building_id, bin, CAST(n AS BIGINT) AS n, round(s, 9) AS smoothed FROM rows_smooth",
-    "facade_grammar": _BASE + _FIT + "SELECT building_id, n_floors, n_columns, n_windows, n_doors, round(window_mean, 6) AS window_mean, round(window_std, 6) AS window_std, door_floor_idx, door_x_center, round(gable_y_end, 6) AS gable_y_end, round(floor_height_m, 6) AS floor_height_m, round(window_w_mean_m, 6) AS window_w_mean_m, round(gable_prominence_m, 6) AS gable_prominence_m, n_floors_matches_bag FROM fitted",
+    "fitted_fronts": _BASE + _FIT + "SELECT building_id, n_floors, n_columns, n_windows, n_doors, round(window_mean, 6) AS window_mean, round(window_std, 6) AS window_std, door_floor_idx, door_x_center, round(gable_y_end, 6) AS gable_y_end, round(floor_height_m, 6) AS floor_height_m, round(window_w_mean_m, 6) AS window_w_mean_m, round(gable_prominence_m, 6) AS gable_prominence_m, n_floors_matches_bag FROM fitted",
     "peak_clusters": _BASE + _FIT + "SELECT building_id, CAST(pos AS INT) AS \"at\", round(center, 6) AS center FROM rows_peaks JOIN fitted USING (building_id)",
     "floor_match": _BASE + _FIT + "SELECT CASE WHEN n_floors_matches_bag THEN 'yes' WHEN NOT n_floors_matches_bag THEN 'no' ELSE 'unknown' END AS matches, count(*) AS n FROM fitted GROUP BY 1",
-    "features_csv": _BASE + _FIT + "SELECT i.building_id, CAST(ord AS INT) AS ord, cls, score, cx / 100 AS cx_norm, cy / 100 AS cy_norm, n_floors, n_columns FROM instances i JOIN fitted USING (building_id)",
+    "features_csv": _BASE + _FIT + "SELECT i.building_id, w.photo_id, cls, CAST(cx - hw AS INT) AS x0, CAST(cy - hw AS INT) AS y0, CAST(cx + hw AS INT) AS x1, CAST(cy + hw AS INT) AS y1, score, (cx - hw) / 100 AS x0_norm, (cy - hw) / 100 AS y0_norm, (cx + hw) / 100 AS x1_norm, (cy + hw) / 100 AS y1_norm, 1600 + i.building_id % 400 AS building_year, w_m AS facade_width_m, height_m AS facade_height_m FROM instances i JOIN fitted USING (building_id) JOIN (SELECT building_id, w AS w_m, height_m FROM buildings) USING (building_id) LEFT JOIN works w ON w.building_id = i.building_id",
+    "front_means": _BASE + _FIT + "SELECT count(*) AS fronts, round(avg(n_floors), 6) AS mean_n_floors, round(avg(n_columns), 6) AS mean_n_columns, round(avg(n_windows), 6) AS mean_n_windows, round(avg(n_doors), 6) AS mean_n_doors FROM fitted",
+    "class_means": _BASE + "SELECT cls, round(avg(score), 6) AS mean_score, round(count(*) / CAST((SELECT count(DISTINCT building_id) FROM instances) AS DOUBLE), 6) AS per_front FROM instances GROUP BY 1",
+    "summary_lines": _BASE + _FIT + "SELECT building_id, printf('  %s  yr=%d  roof=%s  floors=%d/%s%s  cols=%d  w=%d  facade=%.1fx%.1fm  gable=%s', right(CAST(building_id AS VARCHAR), 16), 1600 + building_id % 400, coalesce(p_type, '?'), n_floors, coalesce(CAST(b.floor_count AS VARCHAR), '?'), CASE WHEN n_floors_matches_bag THEN '✓' WHEN NOT n_floors_matches_bag THEN '✗' ELSE '—' END, n_columns, n_windows, b.w, b.height_m, CASE WHEN gable_prominence_m IS NULL THEN '?' ELSE printf('%.1fm', gable_prominence_m) END) AS line FROM fitted JOIN buildings b USING (building_id) JOIN part ON p_partkey = building_id",
+    "view_angles": _BASE + _VIEWS + "SELECT building_id, photo_id, round(metres, 4) AS metres, round(bearing, 4) AS bearing, round(pitch, 4) AS pitch FROM views",
+    "view_corners": _BASE + _VIEWS + "SELECT building_id, photo_id, corner, round(x, 4) AS x, round(y, 4) AS y FROM corners",
+    "projected_bbox": _BASE + _VIEWS + f"""SELECT v.building_id, v.photo_id, CASE WHEN n > 1 THEN greatest(0, CAST(trunc(x0 - (x1 - x0) * CAST({O.bbox_margin} AS DOUBLE)) AS INT)) END AS x0, CASE WHEN n > 1 THEN greatest(0, CAST(trunc(y0 - (y1 - y0) * CAST({O.bbox_margin} AS DOUBLE)) AS INT)) END AS y0,
+ CASE WHEN n > 1 THEN least({O.view_width}, CAST(trunc(x1 + (x1 - x0) * CAST({O.bbox_margin} AS DOUBLE)) AS INT)) END AS x1, CASE WHEN n > 1 THEN least({O.view_height}, CAST(trunc(y1 + (y1 - y0) * CAST({O.bbox_margin} AS DOUBLE)) AS INT)) END AS y1
+ FROM views v JOIN (SELECT building_id, photo_id, count(x) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corners GROUP BY 1, 2) USING (building_id, photo_id)""",
     "geo_roundtrip": _BASE + f"SELECT building_id, round(CAST({geo.LON0!r} AS DOUBLE) + {_poly(geo.TO_LON, _DX, _DY)} / 3600, 6) AS lon, round(CAST({geo.LAT0!r} AS DOUBLE) + {_poly(geo.TO_LAT, _DX, _DY)} / 3600, 6) AS lat FROM buildings",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.functions import geo
+
 PHOTO_RECORD = "id string, computed_geometry struct<coordinates: array<double>>, compass_angle double, computed_altitude double, captured_at long, is_pano boolean, thumb_1024_url string, quality_score double"
 BUILDING_RECORD = "geometry struct<type: string, coordinates: string>, properties struct<identificatie: string, b3_h_max: double, b3_h_maaiveld: double, b3_h_70p: double, b3_bouwlagen: int, b3_dak_type: string, oorspronkelijkbouwjaar: int, b3_opp_grond: double>"
 
@@ -76,3 +78,15 @@ def tiles(spark: SparkSession, box: tuple[float, float, float, float], grid: int
     cells = spark.range(n * n).select((F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j"))
     at = lambda a, b, k: F.lit(a) + (F.lit(b) - F.lit(a)) * k / F.lit(float(n))
     return cells.select("i", "j", at(x0, x1, F.col("i")).alias("min_x"), at(y0, y1, F.col("j")).alias("min_y"), at(x0, x1, F.col("i") + 1).alias("max_x"), at(y0, y1, F.col("j") + 1).alias("max_y"))
+
+
+def buffered(boxes: DataFrame, metres: float) -> DataFrame:
+    """Boxes of lon/lat (min_lon, min_lat, max_lon, max_lat), wider by so many metres of the grid on each side."""
+    out = boxes
+    for end, sign in (("min", -metres), ("max", metres)):
+        x, y = geo.to_grid(F.col(f"{end}_lon"), F.col(f"{end}_lat"))
+        out = out.withColumn("_at", F.array(F.struct((x + sign).alias("x"), (y + sign).alias("y"))))
+        # a lambda binds the point once; written out, each power would repeat its whole expression
+        out = out.withColumn("_at", F.transform("_at", lambda p: F.struct(*(v.alias(k) for k, v in zip(("lon", "lat"), geo.to_lonlat(p["x"], p["y"]), strict=True))))[0])
+        out = out.withColumn(f"{end}_lon", F.col("_at.lon")).withColumn(f"{end}_lat", F.col("_at.lat")).drop("_at")
+    return out
