@@ -15,7 +15,8 @@ HERE = (4.9, 52.37)
 
 def pixel(spark, lon, lat, above, yaw=0.0, pitch=0.0):
     lit = lambda p: (F.lit(p[0]), F.lit(p[1]))
-    return spark.range(1).select(camera.pixel(lit(HERE), lit((lon, lat)), F.lit(above), F.lit(yaw), F.lit(pitch)).alias("p")).first().p
+    row = camera.with_pixels(spark.range(1), lit(HERE), lit((lon, lat)), F.lit(above), F.lit(yaw), F.lit(pitch)).first()
+    return None if row.x is None and row.y is None else row
 
 
 def test_pixels(spark):
@@ -39,10 +40,10 @@ def test_pitch(spark):
 
 
 def test_box_needs_two_points(spark):
-    point = lambda x, y: f"named_struct('x', {x}D, 'y', {y}D)"
-    got = spark.sql(f"SELECT array({point(10, 20)}, NULL, {point(110, 2000)}) AS two, array(NULL, {point(1, 1)}) AS one").select(camera.box(F.col("two")).alias("two"), camera.box(F.col("one")).alias("one")).first()
-    assert tuple(got.two) == (2, 0, 118, 960)
-    assert got.one is None
+    rows = spark.createDataFrame([(1, 10.0, 20.0), (1, None, None), (1, 110.0, 2000.0), (2, None, None), (2, 1.0, 1.0)], "id int, x double, y double")
+    got = {r.id: r.box for r in rows.groupBy("id").agg(camera.box().alias("box")).collect()}
+    assert tuple(got[1]) == (2, 0, 118, 960)
+    assert got[2] is None
 
 
 def test_png_round_trips():

@@ -125,19 +125,18 @@ def view_angles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _corners(s: SparkSession, d: str) -> DataFrame:
-    """The front's two ends, at the ground and at the roof, in pixels of each view."""
-    rows, at = _views(s, d), lambda p: (F.col(f"{p}_lon"), F.col(f"{p}_lat"))
-    points = [camera.pixel(at("p"), at(end), F.col(h), F.col("bearing"), F.col("pitch")) for end in "ab" for h in ("low", "high")]
-    return rows.select("building_id", "photo_id", F.array(*points).alias("points"))
+    """The front's two ends, at the ground and at the roof, in pixels of each view: four rows a view."""
+    ends = F.array(*[F.struct(F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_lat").alias("lat"), F.col(h).alias("up")) for end in "ab" for h in ("low", "high")])
+    rows = _views(s, d).select("building_id", "photo_id", "p_lon", "p_lat", "bearing", "pitch", F.posexplode(ends).alias("corner", "e"))
+    return camera.with_pixels(rows, (F.col("p_lon"), F.col("p_lat")), (F.col("e.lon"), F.col("e.lat")), F.col("e.up"), F.col("bearing"), F.col("pitch"))
 
 
 def view_corners(s: SparkSession, d: str) -> DataFrame:
-    rows = _corners(s, d).select("building_id", "photo_id", F.posexplode("points").alias("corner", "p"))
-    return rows.select("building_id", "photo_id", "corner", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return _corners(s, d).select("building_id", "photo_id", "corner", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def projected_bbox(s: SparkSession, d: str) -> DataFrame:
-    return _corners(s, d).withColumn("box", camera.box(F.col("points"))).select("building_id", "photo_id", "box.*")
+    return _corners(s, d).groupBy("building_id", "photo_id").agg(camera.box().alias("box")).select("building_id", "photo_id", "box.*")
 
 
 def front_means(s: SparkSession, d: str) -> DataFrame:
