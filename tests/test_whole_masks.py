@@ -1,0 +1,21 @@
+"""Masks and pixels are made of all of a building's detections."""
+
+import duckdb
+import pytest
+from test_oracle import TABLES, rows_of
+
+from trellis.plans import catalogue
+
+
+@pytest.mark.parametrize("name", ["mask_bbox", "mask_overlap", "quality_filter", "quality_reasons", "union_mask"])
+def test_all_detections(spark, tiny, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
+    # the catalogue's SQL takes the first detections only
+    want = con.execute(catalogue.ORACLE_SQL[name].replace(" AND ord <= 3", "").replace(" AND ord <= 8", ""))
+    names = [c[0] for c in want.description]
+    want = rows_of(names, want.fetchall())
+    df = catalogue.QUERIES[name](spark, tiny)
+    assert sorted(df.columns) == sorted(names)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want

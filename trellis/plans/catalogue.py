@@ -55,13 +55,13 @@ def _families(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def _masks(s: SparkSession, d: str) -> DataFrame:
     """Share and touched edges of each building's window boxes, as a mask of the front."""
-    w = proxies.instances(s, d).where("cls = 'window' and ord <= 3")
+    w = proxies.instances(s, d).where("cls = 'window'")
     return w.groupBy("building_id").agg((F.sum(4 * F.col("hw") * F.col("hw")) / 10000).alias("share"), F.max(F.col("cy") - F.col("hw") <= 0).alias("top"), F.max(F.col("cy") + F.col("hw") >= 100).alias("bottom"), F.max(F.col("cx") - F.col("hw") <= 0).alias("left"), F.max(F.col("cx") + F.col("hw") >= 100).alias("right"))
 
 
 def _pixels(s: SparkSession, d: str) -> DataFrame:
     """A pixel table on a grid of 20: boxes of windows (the mask) and of balconies (what hides it)."""
-    rows = proxies.instances(s, d).where("cls in ('window', 'balcony') and ord <= 8")
+    rows = proxies.instances(s, d).where("cls in ('window', 'balcony')")
     low = lambda c: F.greatest(F.floor((F.col(c) - F.col("hw")) / 5), F.lit(0))
     high = lambda c: F.least(F.floor((F.col(c) + F.col("hw")) / 5), F.lit(19))
     rows = rows.withColumn("x", F.explode(F.sequence(low("cx"), high("cx")))).withColumn("y", F.explode(F.sequence(low("cy"), high("cy"))))
