@@ -6,6 +6,11 @@ its suffix that number masked. The model is trained on trusted text: documents t
 Every fifth of them, by hash, is held out; a language's threshold is a quantile of the perplexities of its held-out
 documents, and documents above it are rejected.
 
+A mean over a document hardly sees a few insults in clean prose. So a second model a language is trained on documents that
+`labels` call toxic (but every fifth, held out to measure), and a document's contrast is the largest sum, over all its
+spans, of log2 of the toxic by the trusted probability of each character. It has its own threshold, the same quantile of the
+held-out trusted documents, and documents above either threshold are rejected.
+
 Counts are summed map-side by blocks, then by shards of n-grams. All documents' distinct n-grams are gathered in shards and joined
 with the count tables: p(gram) = discounted count of the gram + backoff weight of its context times p(suffix). The lower
 orders, of which there are far fewer n-grams, are joined one by one by gram, context and suffix. The highest is
@@ -13,10 +18,11 @@ sharded by the characters between the first and the last, which a gram, its cont
 that one join of shards has all three. Their scores, in the n-grams' order and with 16 significant bits, go back to the blocks
 of documents, which find their n-grams anew from the texts and sum each document's log probabilities. No table of n-grams goes to the driver, and none is broadcast.
 
-Trusted ids are broadcast while there are at most `few_ids` (8 bytes each), and joined by a shuffle beyond.
-A language without held-out documents has no threshold: its documents are kept (perplexity is null without a model).
+Trusted and toxic ids are broadcast while there are at most `few_ids` (8 bytes each), and joined by a shuffle beyond.
+A language without held-out documents has no thresholds: its documents are kept (perplexity is null without a model, the
+contrast without both).
 A null language is one of its own. Null and empty texts have no perplexity and are rejected. Repeated rows
-are judged each for itself; an id with several labels is trusted if all of them are good. Columns named like the
+are judged each for itself; an id with several labels is trusted if all of them are good, and toxic if one is. Columns named like the
 results are replaced. Empty tables give empty results; without labels everything but empty texts is kept.
 """
 
@@ -38,7 +44,19 @@ from .common import kept, settled, small_batches, text_column
 ORDER, BITS = 5, 12
 QUANTILE = 0.995
 FEW_IDS = 2_000_000
-ADDED = T.StructType().add("n_scored", "long").add("log2_prob", "double").add("perplexity", "double").add("threshold", "double").add("kept", "boolean")
+ADDED = T.StructType().add("n_scored", "long").add("log2_prob", "double").add("toxic_contrast", "double").add("perplexity", "double").add("threshold", "double").add("toxic_threshold", "double").add("kept", "boolean")
+#: Before the language of a toxic model.
+TOXIC = "\0toxic\0"
+
+
+def _toxic(lang: str | None) -> str:
+    """The key of a language's toxic model."""
+    return TOXIC + (TOXIC if lang is None else lang)
+
+
+def _toxic_column(lang: Column) -> Column:
+    """As _toxic."""
+    return F.concat(F.lit(TOXIC), F.coalesce(lang, F.lit(TOXIC)))
 
 
 def grams_of(column: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +219,10 @@ def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, keep_text: bool = False, n_shards: int | None = None) -> DataFrame:
-    """The documents with n_scored (characters) and log2_prob, their sum (null for none, or without a model)."""
+    """The documents with n_scored (characters), log2_prob, their sum (null for none, or without a model), and toxic_contrast."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = settled(docs.drop("n_scored", "log2_prob"))
+    docs = settled(docs.drop("n_scored", "log2_prob", "toxic_contrast"))
     stay = [c for c in docs.columns if keep_text or c not in (text_col, lang_col)]
     use = docs.select(F.struct(*(docs[c] for c in stay)).alias("_doc"), text_column(docs, text_col).alias("_text"), docs[lang_col].cast("string").alias("_lang"))
     n_shards = n_shards or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 4)
@@ -226,6 +244,7 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
         for lang, data in zip(table.column("lang").to_pylist(), table.column("grams").to_pylist(), strict=True):
             mine = np.unique(_opened(data, order) & suffix_mask)
             out[lang] = np.union1d(out[lang], mine) if lang in out else mine
+        out |= {_toxic(k): v for k, v in out.items()}  # languages without a model go below
         langs = pa.concat_arrays([pa.array([k] * len(v), pa.string()) for k, v in out.items()])
         return pa.table({"lang": langs, "gram": pa.array(np.concatenate([*out.values()]), pa.int64())})
 
@@ -248,20 +267,22 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
         cells = []
         for row, (lang, data) in enumerate(zip(left.column("lang").to_pylist(), left.column("grams").to_pylist(), strict=True)):
             if (found := joined.get(repr(lang))) is not None:
-                cells.append((row, _pressed_logs(found(_opened(data, order)))))
+                grams = _opened(data, order)
+                logs, toxic = found(grams), joined.get(repr(_toxic(lang)))
+                cells.append((row, _pressed_logs(logs), toxic and _pressed_logs(toxic(grams) - logs)))
         at = pa.array([c[0] for c in cells], pa.int64())
-        return left.select(["block", "check", "lang", "shard"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary()))
+        return left.select(["block", "check", "lang", "shard"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary())).append_column("ratios", pa.array([c[2] for c in cells], pa.binary()))
 
-    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, shard int, logs binary")
+    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, shard int, logs binary, ratios binary")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(table, small=True)], pa.binary())], names=["block", "rows"])
 
     def summed(key, left, right):
-        known: dict[str | None, dict[int, bytes]] = {}
-        for lang, shard, logs in zip(left.column("lang").to_pylist(), left.column("shard").to_pylist(), left.column("logs").to_pylist(), strict=True):
-            known.setdefault(lang, {})[shard] = logs
+        known: dict[str | None, dict[int, tuple[bytes, bytes | None]]] = {}
+        for lang, shard, *logs in zip(*(left.column(c).to_pylist() for c in ("lang", "shard", "logs", "ratios")), strict=True):
+            known.setdefault(lang, {})[shard] = (*logs,)
         out = []
         for data in right.column("rows").to_pylist():
             table = unpacked(data, small=True)
@@ -272,14 +293,14 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
                 mine = table.filter(pa.array([x == lang for x in langs])).combine_chunks()
                 out += _summed(mine, known.get(lang), order, n_shards, inner)
         out = pa.concat_tables(out)
-        return pa.table([*out.column("_doc").combine_chunks().flatten(), out.column("n"), out.column("log")], names=[*stay, "n_scored", "log2_prob"])
+        return pa.table([*out.column("_doc").combine_chunks().flatten(), out.column("n"), out.column("log"), out.column("contrast")], names=[*stay, "n_scored", "log2_prob", "toxic_contrast"])
 
-    schema = T.StructType([*(docs.schema[c] for c in stay), *ADDED.fields[:2]])
+    schema = T.StructType([*(docs.schema[c] for c in stay), *ADDED.fields[:3]])
     return lined.groupBy("block").cogroup(use.mapInArrow(ship, "block long, rows binary").groupBy("block")).applyInArrow(summed, schema)
 
 
-def _summed(table: pa.Table, known: dict[int, bytes] | None, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:
-    """One language's documents of a block with the sums of their n-grams' logs; known: each shard's logs."""
+def _summed(table: pa.Table, known: dict[int, tuple[bytes, bytes | None]] | None, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:
+    """One language's documents of a block with the sums of their n-grams' logs, and their contrast; known: each shard's logs and ratios."""
     column, pieces, first = table.column("_text").combine_chunks(), [], 0
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
@@ -292,21 +313,35 @@ def _summed(table: pa.Table, known: dict[int, bytes] | None, order: int, n_shard
     if known:
         grams = np.unique(np.concatenate([x[3] for x in pieces]))
         shard, logs, met = _shard((grams >> BITS) & inner, n_shards), np.empty(len(grams)), 0
+        ratios = None if any(x[1] is None for x in known.values()) else np.empty(len(grams))
         for s, data in known.items():
             at = np.flatnonzero(shard == s)
-            logs[at] = _opened_logs(data)
+            logs[at] = _opened_logs(data[0])
+            if ratios is not None:
+                ratios[at] = _opened_logs(data[1])
             met += len(at)
         if met != len(grams):
             raise ValueError("n-grams of a block have no score")
     out = []
     for first, last, starts, distinct, at in pieces:
+        log = contrast = pa.nulls(last - first, pa.float64())
         if known and len(at):
-            total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(grams, distinct)][at])])
-            log = pa.array(total[starts[1:]] - total[starts[:-1]], pa.float64(), mask=starts[1:] == starts[:-1])
-        else:
-            log = pa.nulls(last - first, pa.float64())
+            place, none = np.searchsorted(grams, distinct), starts[1:] == starts[:-1]
+            total = np.concatenate([[0.0], np.cumsum(logs[place][at])])
+            log = pa.array(total[starts[1:]] - total[starts[:-1]], pa.float64(), mask=none)
+            if ratios is not None:
+                contrast = pa.array(_contrasts(ratios[place][at], starts), pa.float64(), mask=none)
         part = table.slice(first, last - first).select(["_doc"])
-        out.append(part.append_column("n", pa.array(np.diff(starts), pa.int64())).append_column("log", log))
+        out.append(part.append_column("n", pa.array(np.diff(starts), pa.int64())).append_column("log", log).append_column("contrast", contrast))
+    return out
+
+
+def _contrasts(ratios: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each row the largest sum of a span of its ratios, 0 at least."""
+    out = np.zeros(len(starts) - 1)
+    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        total = np.concatenate([[0.0], np.cumsum(ratios[a:b])])
+        out[i] = (total - np.minimum.accumulate(total)).max()
     return out
 
 
@@ -353,29 +388,30 @@ def _shard_column(middle: Column, n_shards: int) -> Column:
 
 
 def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, few_ids: int = FEW_IDS, keep_text: bool = False) -> DataFrame:
-    """The documents with n_scored, log2_prob, perplexity (of a character), threshold and kept."""
+    """The documents with n_scored, log2_prob, toxic_contrast, perplexity (of a character), their thresholds and kept."""
     small_batches(docs.sparkSession)
     docs = docs.drop(*ADDED.names)
     good = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q"), F.max(F.coalesce("toxic", F.lit(0))).alias("_t"))
-    good = good.where("_id is not null and _q = 1 and _t = 0").select("_id", F.pmod(F.xxhash64("_id"), F.lit(5)).alias("_fold"))
+    good = good.where("_id is not null and (_q = 1 and _t = 0 or _t = 1)").select("_id", (F.col("_t") == 1).alias("_bad"), F.pmod(F.xxhash64("_id"), F.lit(5)).alias("_fold"))
     good = kept(good, "trusted-ids")  # read as it is: a shuffle in its plan would have the texts written anew
     if good.limit(few_ids + 1).count() <= few_ids:
         good = F.broadcast(good)
     columns = docs.columns
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), docs[id_col].alias("_key")).join(good, F.col("_key") == F.col("_id"), "left")
-    train = rows.where(F.col("_fold") != 0).select(text_column_of(text_col).alias("text"), F.col("_row")[lang_col].cast("string").alias("lang"))
+    lang = F.col("_row")[lang_col].cast("string")
+    train = rows.where(F.col("_fold") != 0).select(text_column_of(text_col).alias("text"), F.when(F.col("_bad"), _toxic_column(lang)).otherwise(lang).alias("lang"))
     counts = kept(gram_counts(train, text_col="text", lang_col="lang", order=order), "gram-counts")
     lower = kept(model(counts, order).where(F.col("k") < order), "gram-levels")
     levels = counts.select(F.lit(order).alias("k"), "lang", "gram", "n").unionByName(lower)
     stay = [c for c in columns if keep_text or c != text_col]
-    flat = rows.select(F.struct(*(F.col("_row")[c].alias(c) for c in stay)).alias("_stay"), F.col("_row")[lang_col].cast("string").alias("_l"), (F.col("_fold") == 0).alias("_held"), text_column_of(text_col).alias("_t"), F.col("_row")[lang_col].cast("string").alias("_lang_of"))
+    flat = rows.select(F.struct(*(F.col("_row")[c].alias(c) for c in stay)).alias("_stay"), lang.alias("_l"), ((F.col("_fold") == 0) & ~F.col("_bad")).alias("_held"), text_column_of(text_col).alias("_t"), lang.alias("_lang_of"))
     flat = kept(scored(flat, levels, text_col="_t", lang_col="_lang_of", order=order), "document-scores")
     perplexity = F.when(F.col("n_scored") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_scored")))
     flat = flat.withColumn("_p", perplexity)
-    limits = flat.where("_held and _p is not null").groupBy(F.col("_l").alias("_of")).agg(F.percentile_approx("_p", quantile, 10_000).alias("_limit"))
+    limits = flat.where("_held and _p is not null").groupBy(F.col("_l").alias("_of")).agg(F.percentile_approx("_p", quantile, 10_000).alias("_limit"), F.percentile_approx("toxic_contrast", quantile, 10_000).alias("_most"))
     out = flat.join(F.broadcast(limits), F.col("_l").eqNullSafe(F.col("_of")), "left")  # a row for each language
-    keep = (F.col("n_scored") > 0) & F.coalesce(F.col("_p") <= F.col("_limit"), F.lit(True))
-    return out.select("_stay.*", "n_scored", "log2_prob", F.col("_p").alias("perplexity"), F.col("_limit").alias("threshold"), keep.alias("kept"))
+    keep = (F.col("n_scored") > 0) & F.coalesce(F.col("_p") <= F.col("_limit"), F.lit(True)) & F.coalesce(F.col("toxic_contrast") <= F.col("_most"), F.lit(True))
+    return out.select("_stay.*", "n_scored", "log2_prob", "toxic_contrast", F.col("_p").alias("perplexity"), F.col("_limit").alias("threshold"), F.col("_most").alias("toxic_threshold"), keep.alias("kept"))
 
 
 def text_column_of(name: str) -> Column:
