@@ -40,17 +40,38 @@ _WORD = re.compile("[a-z]+")
 PATHS, WORDS, MEASURES, INNER, HIDDEN = 192, 128, 8, 24, 20
 
 
+class Node:
+    """An open tag under another, with its names. The slots of the whole path are a set of bits, so that a page's depth costs nothing."""
+
+    __slots__ = ("above", "parts", "slots", "tag")
+
+    def __init__(self, above: Node | None, tag: str, names: tuple[str, ...]):
+        self.above, self.tag, self.parts, self.slots = above, tag, (tag, *names), above.slots if above else 0
+        for part in self.parts:
+            self.slots |= 1 << _slot(part)
+
+
 class Leaf:
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
+
+    def __init__(self, node: Node | None, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self.node
+        while node:
+            out.append(node.parts)
+            node = node.above
+        return tuple(x for parts in reversed(out) for x in parts)
 
 
 def leaves(page: str | None) -> list[Leaf]:
     """The page's blocks of text."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}  # each open tag's places in the stack
+    blocks_open: list[int] = []  # the places of blocks
     parts: list[str] = []
     linked = at = 0
     page = page or ""
@@ -60,17 +81,23 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(x for tag, names in stack for x in (tag, *names))
-                out.append(Leaf(path, text, min(linked, len(text))))
+                out.append(Leaf(stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks_open.pop()
+
     def add(piece: str) -> None:
         nonlocal linked
         if piece:
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
-            if any(tag == "a" for tag, _ in stack[-4:]):
+            if any(x.tag == "a" for x in stack[-4:]):
                 linked += len(piece.strip())
 
     while m := _TAG.search(page, at):
@@ -80,11 +107,11 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                inside = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-                if tag in BLOCKS or any(t in BLOCKS for t, _ in stack[inside:]):
+            if places.get(tag):
+                inside = places[tag][-1]
+                if blocks_open and blocks_open[-1] >= inside:
                     flush()
-                del stack[inside:]
+                cut(inside)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -98,16 +125,15 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                other = stack[i][0]
-                if other == "p" or other in CLOSED_BY.get(tag, ()):
-                    del stack[i:]
-                    break
-                if other in BLOCKS:
-                    break
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < 200:
-            names = tuple(f"{tag}.{w}" for a, b, c in _NAMES.findall(m[3]) for w in _WORD.findall((a or b or c).lower())[:6]) if m[3] else ()
-            stack.append((tag, names + tuple(f".{n.partition('.')[2]}" for n in names)))
+            # tags that a block closes are blocks, so that the innermost open block tells
+            if blocks_open and ((other := stack[blocks_open[-1]].tag) == "p" or other in CLOSED_BY.get(tag, ())):
+                cut(blocks_open[-1])
+        if tag not in VOID and not m[3].endswith("/"):
+            names = tuple(f"{tag}.{w}" for a, b, c in _NAMES.findall(m[3]) for w in _WORD.findall((a or b or c).lower())) if m[3] else ()
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks_open.append(len(stack))
+            stack.append(Node(stack[-1] if stack else None, tag, names + tuple(f".{n.partition('.')[2]}" for n in names)))
     add(page[at:])
     flush()
     return out
@@ -124,15 +150,14 @@ def inputs(pages: list[list[Leaf]]) -> np.ndarray:
     out = np.zeros((len(flat), PATHS + WORDS + MEASURES), np.float32)
     if not flat:
         return out
-    paths: dict[tuple[str, ...], np.ndarray] = {}
+    paths: dict[tuple[int, str | None], np.ndarray] = {}
     for i, leaf in enumerate(flat):
-        if (v := paths.get(leaf.path)) is None:
-            v = np.zeros(PATHS, np.float32)
-            for part in leaf.path:
-                v[_slot(part)] = 1
-            for part in leaf.path[-1:]:
-                v[_slot(f"last {part}")] = 1
-            paths[leaf.path] = v
+        slots, last = (leaf.node.slots, leaf.node.parts[-1]) if leaf.node else (0, None)
+        if (v := paths.get((slots, last))) is None:
+            v = np.array([slots >> k & 1 for k in range(PATHS)], np.float32)
+            if last is not None:
+                v[_slot(f"last {last}")] = 1
+            paths[slots, last] = v
         out[i, :PATHS] = v
     data, offsets = column_bytes(pa.array([x.text for x in flat], pa.string()))
     words = Tokens(data, offsets, ALNUM, fold=True)
