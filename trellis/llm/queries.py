@@ -30,7 +30,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), warc.archive_path(spark))
-    return warc.read_summaries(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_checked(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def _joined(spans, kinds: tuple[str, ...] | None = None):

@@ -140,6 +140,21 @@ def read_summaries(spark: SparkSession, archive: Archive) -> DataFrame:
     return out.select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def read_checked(spark: SparkSession, archive: Archive) -> DataFrame:
+    """The columns of read_summaries from every record's rebuilt bytes: of a response the body, cut out of the record by
+    its Content-Length, and of a revisit the payload that it refers to. Bytes that don't agree with the header fail the query."""
+    rows = read_records(spark, archive)
+    length = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nContent-Length: (\d+)\r\n", 1).cast("int")
+    start = F.octet_length("header") + 2
+    body = F.substring("record", start + 1, length)
+    whole = F.octet_length("record") == start + length + 4
+    payload = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(body)
+    rows = rows.select("page_id", "url", "payload_digest", "record_type", "refers_to", F.octet_length(payload).cast("long").alias("payload_bytes"), base32(F.sha1(payload)).alias("_digest"), whole.alias("_whole"))
+    wrong = F.concat(F.lit("record and header differ at page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    digest = F.when((F.col("_digest") == F.col("payload_digest")) & F.col("_whole"), F.col("_digest")).otherwise(F.raise_error(wrong).cast("string"))
+    return rows.select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def archive_path(spark: SparkSession) -> str:
     import uuid
 
