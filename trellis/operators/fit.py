@@ -109,8 +109,8 @@ def fitted(instances: DataFrame, buildings: DataFrame, o: Options = DEFAULTS) ->
 
 
 def boundaries(points: Column, gap: float = 0.02) -> Column:
-    """Sorted distinct points; one too near the last that was kept goes, and the last becomes 1."""
-    ordered = F.array_sort(F.array_distinct(points))
+    """Sorted distinct points, to nine places, so that sums in any order agree; one too near the last that was kept goes, and the last becomes 1."""
+    ordered = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.round(p, 9))))
     merged = F.aggregate(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 1, 1), lambda out, p: F.when(p > F.element_at(out, -1) + gap, F.concat(out, F.array(p))).otherwise(out))
     return F.concat(F.slice(merged, F.lit(1), F.size(merged) - 1), F.array(F.lit(1.0)))
 

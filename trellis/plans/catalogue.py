@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from trellis.config import DEFAULTS as O
 from trellis.functions import camera, geo
 from trellis.operators import facades, fit, grammar
+from trellis.plans import grids_sql
 from trellis.sources import files, proxies, sinks
+from trellis.sources.tables import written
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -46,11 +48,8 @@ def _parses(s: SparkSession, d: str) -> DataFrame:
     return grammar.parses(_lattice(s, d))
 
 
-def _families(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = _parses(s, d).persist()
-    rules = grammar.rules(p).persist()
-    fams = grammar.families(rules, grammar.usage(p)).persist()
-    return fams, rules, grammar.root_weights(fams, grammar.roots(p)).persist()
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    return grammar.rules(_lattice(s, d))
 
 
 def _masks(s: SparkSession, d: str) -> DataFrame:
@@ -102,9 +101,20 @@ def smoothed_histogram(s: SparkSession, d: str) -> DataFrame:
     return dense.select("building_id", "bin", "n", F.round(total, 9).alias("smoothed"))
 
 
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Every event as a photo record: some without a place, some with an unknown compass, and most ids in two records."""
+    place = "IF(event_type = 'error', CAST(NULL AS ARRAY<DOUBLE>), array(4.8D + (event_id * 7) % 480 * 0.001D, 52.3D + (event_id * 13) % 2000 * 0.0001D))"
+    rows = proxies.read(s, d, "events").selectExpr(
+        "CAST(event_id div 2 AS STRING) AS id", f"named_struct('coordinates', {place}) AS computed_geometry",
+        "IF(event_type = 'purchase', -1D, CAST((event_id * 37) % 720 AS DOUBLE)) AS compass_angle", "CAST(NULL AS DOUBLE) AS computed_altitude",
+        "unix_millis(CAST(ts AS TIMESTAMP)) AS captured_at", "event_type IN ('view', 'click') AS is_pano", "concat('u', event_id) AS thumb_1024_url", "value / 500 AS quality_score",
+    )
+    return files.checked(rows, files.PHOTO_RECORD, ("id",))
+
+
 def photo_clean_dedupe(s: SparkSession, d: str) -> DataFrame:
-    rows = s.read.parquet(f"{d}/events.parquet").selectExpr("event_id % 700 AS photo_id", "event_id AS seq", "value").where("event_id % 13 <> 0")
-    return files.first_by(rows, "photo_id", "seq").select("photo_id", "seq", "value")
+    rows = files.first_by(files.photos(_records(s, d)), "photo_id", "captured_at", "url")
+    return rows.select("photo_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "bearing_deg", "is_pano", "url")
 
 
 def _views(s: SparkSession, d: str) -> DataFrame:
@@ -156,28 +166,27 @@ def bbox_buffer(s: SparkSession, d: str) -> DataFrame:
 
 
 def contact_sample(s: SparkSession, d: str) -> DataFrame:
-    """Twelve fronts for a sheet, by a hash of their id: the same ones in every run."""
-    return _fit(s, d).select("building_id", "n_floors", "n_columns").orderBy(F.xxhash64("building_id", F.lit(O.rng_seed)), "building_id").limit(12)
-
-
-def layout_rects(s: SparkSession, d: str) -> DataFrame:
-    p = _parses(s, d).persist()
-    return grammar.layout(p, p.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
+    """Twelve fronts for a sheet, by a digest of their id: the same ones in every run, and in any engine."""
+    return _fit(s, d).select("building_id", "n_floors", "n_columns").orderBy(F.md5(F.concat_ws(":", F.lit(str(O.rng_seed)), F.col("building_id").cast("string")).cast("binary")), "building_id").limit(12)
 
 
 def _sampled(s: SparkSession, d: str, *, top: int | None = None, each: int | None = None) -> DataFrame:
-    fams, rules, weights = _families(s, d)
-    if top is None:
-        return grammar.sampled(fams, rules, weights)
-    best = grammar.top_roots(weights, top).persist()
+    """Samples of all root families by weight, of the best alone, or so many of each of the best."""
+    rules = written(_rules(s, d), "rules")
+    weights = grammar.root_weights(rules)
     if each is None:
-        return grammar.sampled(fams, rules, best)
-    names = [r["family"] for r in best.collect()]  # six at most
-    out = None
-    for i, name in enumerate(names):
-        part = grammar.sampled(fams, rules, best.where(F.col("family") == name), n=each, seed=O.rng_seed + i * 1009).withColumn("archetype", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        begin = grammar.starts(weights if top is None else grammar.top_roots(weights, top))
+    else:
+        place = F.row_number().over(Window.orderBy(F.desc("weight"), F.substr("family", F.lit(2)).cast("int"))) - 1  # of `top` rows
+        best = grammar.top_roots(weights, top).select("family", (F.lit(O.rng_seed) + place * 1009).cast("long").alias("seed"))
+        begin = best.select("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))).alias("sample"), "family")
+    return grammar.sampled(begin, grammar.production_ranges(rules))
+
+
+def sample_rects(s: SparkSession, d: str) -> DataFrame:
+    rules = written(_rules(s, d), "rules")
+    nodes = grammar.sampled(grammar.starts(grammar.root_weights(rules)), grammar.production_ranges(rules))
+    return grammar.sample_layout(nodes.withColumn("seed", F.expr("seed div 10000")), rules)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -214,24 +223,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peak_clusters": lambda s, d: _fit(s, d).select("building_id", F.posexplode("row_centers").alias("at", "center")).select("building_id", "at", F.round("center", 6).alias("center")),
     "floor_match": lambda s, d: _fit(s, d).groupBy(F.when(F.col("n_floors_matches_bag"), "yes").when(~F.col("n_floors_matches_bag"), "no").otherwise("unknown").alias("matches")).agg(F.count("*").alias("n")),
     "features_csv": features_csv,
-    "row_boundaries": lambda s, d: fit.with_boundaries(_fit(s, d)).select("building_id", F.posexplode("row_boundaries").alias("at", "y")),
-    "col_boundaries": lambda s, d: fit.with_boundaries(_fit(s, d)).select("building_id", F.posexplode("col_boundaries").alias("at", "x")),
+    "row_boundaries": lambda s, d: fit.with_boundaries(_fit(s, d)).select("building_id", F.posexplode("row_boundaries").alias("at", "y")).withColumn("y", F.round("y", 9)),
+    "col_boundaries": lambda s, d: fit.with_boundaries(_fit(s, d)).select("building_id", F.posexplode("col_boundaries").alias("at", "x")).withColumn("x", F.round("x", 9)),
     "lattice_cells": _lattice,
-    "lattice_fill_rate": lambda s, d: _lattice(s, d).groupBy("building_id").agg(F.avg((F.col("cls") != "wall").cast("double")).alias("fill_rate")),
-    "induced_rules": lambda s, d: grammar.rules(_parses(s, d)),
+    "lattice_fill_rate": lambda s, d: _lattice(s, d).groupBy("building_id").agg(F.round(F.avg((F.col("cls") != "wall").cast("double")), 9).alias("fill_rate")),
+    "induced_rules": lambda s, d: _rules(s, d).select("rule", "kind", "axis", "cls", "left_rule", "right_rule", "left_size", "right_size"),
     "facade_roots": lambda s, d: grammar.roots(_parses(s, d)),
-    "mdl_bits": lambda s, d: grammar.mdl_bits(grammar.rules(_parses(s, d)), grammar.roots(_parses(s, d))),
+    "mdl_bits": lambda s, d: _rounded(grammar.mdl_bits(_rules(s, d)), "mdl_bits"),
     "parse_edges": lambda s, d: _parses(s, d).select("building_id", "node", "parent", "child", "depth", "rule"),
-    "rule_usage": lambda s, d: grammar.usage(_parses(s, d)),
-    "family_keys": lambda s, d: grammar.family_keys(grammar.rules(_parses(s, d))),
-    "grammar_families": lambda s, d: _families(s, d)[0],
-    "root_family_weights": lambda s, d: _families(s, d)[2],
-    "production_probs": lambda s, d: grammar.production_probs(_families(s, d)[0]),
-    "top_root_families": lambda s, d: grammar.top_roots(_families(s, d)[2]),
+    "rule_usage": lambda s, d: _rules(s, d).select("rule", "uses"),
+    "family_keys": lambda s, d: _rules(s, d).select("rule", "key"),
+    "grammar_families": lambda s, d: grammar.families(_rules(s, d)),
+    "root_family_weights": lambda s, d: grammar.root_weights(_rules(s, d)),
+    "production_probs": lambda s, d: _rounded(grammar.production_probs(_rules(s, d)), "prob"),
+    "top_root_families": lambda s, d: grammar.top_roots(grammar.root_weights(_rules(s, d))),
     "synthesized": lambda s, d: _sampled(s, d),
     "photogenic": lambda s, d: _sampled(s, d, top=1),
     "archetype": lambda s, d: _sampled(s, d, top=6, each=2),
-    "layout_rects": layout_rects,
+    "layout_rects": lambda s, d: grammar.layout(_parses(s, d)),
+    "sample_rects": sample_rects,
     "view_angles": view_angles,
     "view_corners": view_corners,
     "projected_bbox": projected_bbox,
@@ -269,10 +279,10 @@ works AS (SELECT building_id, photo_id, rank, ratio FROM (SELECT *, row_number()
 instances AS (SELECT l_partkey building_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord,
  CASE WHEN l_linenumber <= 4 THEN 'window' WHEN l_linenumber = 5 THEN 'door' WHEN l_linenumber = 6 THEN 'chimney' ELSE 'balcony' END cls, least(l_discount * 10, CAST(1 AS DOUBLE)) score,
  CAST((l_orderkey * 7 + l_linenumber * 13) % 100 AS DOUBLE) cx, CAST((l_suppkey * 11 + l_linenumber * 29) % 100 AS DOUBLE) cy, CAST(2 + CAST(trunc(l_quantity) AS INT) % 4 AS DOUBLE) hw FROM lineitem),
-masks AS (SELECT building_id, sum(4 * hw * hw) / 10000 share, max(cy - hw <= 0) t, max(cy + hw >= 100) b, max(cx - hw <= 0) l, max(cx + hw >= 100) r FROM instances WHERE cls = 'window' AND ord <= 3 GROUP BY 1),
+masks AS (SELECT building_id, sum(4 * hw * hw) / 10000 share, max(cy - hw <= 0) t, max(cy + hw >= 100) b, max(cx - hw <= 0) l, max(cx + hw >= 100) r FROM instances WHERE cls = 'window' GROUP BY 1),
 mask_reasons AS (SELECT *, CASE WHEN share < {O.min_mask_ratio} THEN 'tiny' WHEN share > {O.max_mask_ratio} THEN 'huge' WHEN t AND b THEN 'vertical_crop' WHEN l AND r THEN 'horizontal_crop' END reason FROM masks),
 pixels AS (SELECT building_id, x, y, bool_or(cls = 'window') mask, bool_or(cls = 'balcony') hides FROM (SELECT i.*, gx.x, gy.y FROM instances i, (SELECT CAST(unnest(range(20)) AS BIGINT) x) gx, (SELECT CAST(unnest(range(20)) AS BIGINT) y) gy
- WHERE cls IN ('window', 'balcony') AND ord <= 8 AND gx.x BETWEEN greatest(floor((cx - hw) / 5), 0) AND least(floor((cx + hw) / 5), 19) AND gy.y BETWEEN greatest(floor((cy - hw) / 5), 0) AND least(floor((cy + hw) / 5), 19)) GROUP BY 1, 2, 3)
+ WHERE cls IN ('window', 'balcony') AND gx.x BETWEEN greatest(floor((cx - hw) / 5), 0) AND least(floor((cx + hw) / 5), 19) AND gy.y BETWEEN greatest(floor((cy - hw) / 5), 0) AND least(floor((cy + hw) / 5), 19)) GROUP BY 1, 2, 3)
 """
 
 
@@ -328,6 +338,10 @@ def _lonlat(x: str, y: str, name: str) -> str:
     dx, dy = f"(({x} - 155000) * CAST(1e-5 AS DOUBLE))", f"(({y} - 463000) * CAST(1e-5 AS DOUBLE))"
     return f"CAST({geo.LON0!r} AS DOUBLE) + {_poly(geo.TO_LON, dx, dy)} / 3600 AS {name}_lon, CAST({geo.LAT0!r} AS DOUBLE) + {_poly(geo.TO_LAT, dx, dy)} / 3600 AS {name}_lat"
 
+def _grid_of(lon: str, lat: str, name: str) -> str:
+    a, b = f"(({lat} - CAST({geo.LAT0!r} AS DOUBLE)) * CAST(0.36 AS DOUBLE))", f"(({lon} - CAST({geo.LON0!r} AS DOUBLE)) * CAST(0.36 AS DOUBLE))"
+    return f"CAST({geo.X0!r} AS DOUBLE) + {_poly(geo.TO_X, a, b)} AS {name}_x, CAST({geo.Y0!r} AS DOUBLE) + {_poly(geo.TO_Y, a, b)} AS {name}_y"
+
 
 def _metres(a: str, b: str) -> tuple[str, str]:
     """East and north in metres and the bearing, as in `geo.geodesic`."""
@@ -357,7 +371,8 @@ ORACLE_SQL: dict[str, str] = {
     "classified_facades": _BASE + "SELECT building_id, ax, ay, bx, bj AS by, classification FROM classified",
     "facade_class_counts": _BASE + "SELECT classification, count(*) AS n FROM classified GROUP BY 1",
     "canal_facades": _BASE + "SELECT building_id, ax, ay, bx, bj AS by, normal_deg FROM canal",
-    "photo_clean_dedupe": "SELECT photo_id, seq, value FROM (SELECT event_id % 700 AS photo_id, event_id AS seq, value, row_number() OVER (PARTITION BY event_id % 700 ORDER BY event_id) AS k FROM events WHERE event_id % 13 <> 0) WHERE k = 1",
+    "photo_clean_dedupe": """SELECT photo_id, round(lon, 6) AS lon, round(lat, 6) AS lat, bearing_deg, is_pano, url FROM (SELECT CAST(event_id // 2 AS VARCHAR) AS photo_id, CAST(4.8 AS DOUBLE) + (event_id * 7) % 480 * CAST(0.001 AS DOUBLE) AS lon, CAST(52.3 AS DOUBLE) + (event_id * 13) % 2000 * CAST(0.0001 AS DOUBLE) AS lat,
+ CASE WHEN event_type <> 'purchase' THEN CAST((event_id * 37) % 360 AS DOUBLE) END AS bearing_deg, event_type IN ('view', 'click') AS is_pano, 'u' || event_id AS url, row_number() OVER (PARTITION BY event_id // 2 ORDER BY epoch_ms(ts), 'u' || event_id) AS k FROM events WHERE event_type <> 'error') WHERE k = 1""",
     "tile_grid": "SELECT i, j, i * CAST(0.5 AS DOUBLE) AS min_x, CAST(j AS DOUBLE) AS min_y, (i + 1) * CAST(0.5 AS DOUBLE) AS max_x, CAST(j + 1 AS DOUBLE) AS max_y FROM (SELECT unnest(range(8)) AS i) CROSS JOIN (SELECT unnest(range(8)) AS j)",
     "photo_candidates": _BASE + "SELECT building_id, photo_id, round(dist_m, 6) AS dist_m, round(perp_deg, 6) AS perp_deg FROM pairs WHERE ahead > 0",
     "photo_reject_reasons": _BASE + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1",
@@ -390,3 +405,7 @@ ORACLE_SQL: dict[str, str] = {
  FROM views v JOIN (SELECT building_id, photo_id, count(x) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corners GROUP BY 1, 2) USING (building_id, photo_id)""",
     "geo_roundtrip": _BASE + f"SELECT building_id, round(CAST({geo.LON0!r} AS DOUBLE) + {_poly(geo.TO_LON, _DX, _DY)} / 3600, 6) AS lon, round(CAST({geo.LAT0!r} AS DOUBLE) + {_poly(geo.TO_LAT, _DX, _DY)} / 3600, 6) AS lat FROM buildings",
 }
+ORACLE_SQL |= grids_sql.queries(_BASE + _FIT)
+ORACLE_SQL["bbox_buffer"] = f"""WITH grid AS (SELECT {_grid_of('CAST(4.88 AS DOUBLE)', 'CAST(52.37 AS DOUBLE)', 'a')}, {_grid_of('CAST(4.89 AS DOUBLE)', 'CAST(52.38 AS DOUBLE)', 'b')}),
+wide AS (SELECT a_x - 50 AS ax, a_y - 50 AS ay, b_x + 50 AS bx, b_y + 50 AS by_ FROM grid), back AS (SELECT {_lonlat('ax', 'ay', 'a')}, {_lonlat('bx', 'by_', 'b')} FROM wide)
+SELECT round(a_lon, 7) AS min_lon, round(a_lat, 7) AS min_lat, round(b_lon, 7) AS max_lon, round(b_lat, 7) AS max_lat FROM back"""
