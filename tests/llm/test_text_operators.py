@@ -10,7 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trellis.llm import decontaminate, quality_rules, queries, secrets, sharding, warc
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trellis.llm import decontaminate, quality_rules, queries, secrets, sharding, trigrams, warc
 
 LONG = "lorem ipsum " * 30_000
 EDGE = [
@@ -149,11 +152,48 @@ def test_secret_redaction(spark, edge):
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(edge).collect()}[1] is None
 
 
-def test_secret_index_is_sound():
-    for rule in secrets.RULES:
-        for q in rule.queries():
-            assert all(len(t) == 3 for t in q)
+def test_secret_index_is_sound(spark):
     assert not secrets.RULES[2].queries()
+    assert all(len(t) == 3 for r in secrets.RULES for q in r.queries() for t in q)
+    assert [r.kind for r in secrets.RULES if not r.queries()] == ["hex"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "_key long, text string")
+    found = {r["_key"]: r["_kinds"] for r in secrets.candidates(secrets.postings(docs)).collect()}
+    for i, text in enumerate(SECRETS):
+        for rule in secrets.RULES:
+            if rule.queries() and re.search(rule.pattern.replace("(?i:", "(?ai:"), text):
+                assert rule.kind in found[i]
+
+
+def test_all_secret_kinds(spark):
+    """Every rule against Python's own regexes, over texts of every kind and a rule set of more than two words of bits."""
+    many = tuple(secrets.SecretRule(f"k{i}", f"key{i:03d}[a-z]{{2,}}") for i in range(150)) + secrets.RULES
+    assert len(secrets._wanted(many)) > 126
+    rng = np.random.default_rng(4)
+    parts = [*SECRETS, "sk_live_" + "a1" * 12, "rk_live_" + "Zz9" * 8, "xoxa-", "gho_" + "x" * 36, "-----BEGIN PRIVATE KEY-----", "AIza" + "-" * 35, *(f"key{i:03d}abc" for i in range(150)), "é", " ", "\n"]
+    texts = ["".join(parts[int(k)] for k in rng.integers(0, len(parts), 6)) for _ in range(300)]
+    rows = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), many).collect()
+    for r in rows:
+        want = sorted((m.start(), o, m.end(), rule.kind) for o, rule in enumerate(many) for m in re.finditer(rule.pattern.replace("(?i:", "(?ai:"), r["text"]) if len(m[rule.group]) >= rule.least)
+        assert [(s["start"], s["order"], s["end"], s["kind"]) for s in r["spans"]] == want
+    assert {s["kind"] for r in rows for s in r["spans"]} >= {r.kind for r in secrets.RULES}
+
+
+_ATOMS = st.sampled_from(["abc", "token", "K", "x+", "[abc]d", "[0-9]{3}", "(foo|barx)", "q?", "(ab)*", ".", "\\d", "e{4}", "(?i:KeY)", "z{2,}", "(one(two|three)?)+", "_", "-{3}", "[^a]y"])
+
+
+@given(st.lists(_ATOMS, min_size=1, max_size=6), st.data())
+@settings(max_examples=300, deadline=None)
+def test_no_match_is_lost(atoms, data):
+    """A string that matches a regex holds all trigrams of one of its alternatives."""
+    pattern = "".join(atoms)
+    text = data.draw(st.from_regex(re.compile(pattern, re.A), fullmatch=True)).lower()
+    queries_ = trigrams.query(pattern)
+    assert not queries_ or any(all(t in text for t in q) for q in queries_)
+
+
+def test_unlike_regexes_scan_fully():
+    for pattern in ("[a-z&&[b]]abc", r"\p{Alpha}abc", r"\Qabc\E", "(?iu)secret", "(?<n>abc)", "[[a]]bcd", "abc(", "(?x)a b c"):
+        assert trigrams.query(pattern) == []
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -190,12 +230,14 @@ def test_decontamination_edges(spark, edge):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     items = [(i, t) for i, t in items if i is not None and t is not None]
-    for block in (2_000_000, 8):
+    for few in (2_000_000, 0):
         for df in (docs, edge, docs.limit(0)):
-            for r in decontaminate.contamination(df, bench, block_words=block).collect():
+            for r in decontaminate.contamination(df, bench, few_prints=few, few_windows=few).collect():
                 want = decontaminate_brute(r["text"], items)
                 assert (r["n_words"], r["n_hit"], r["n_items"], hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) == want
     assert decontaminate.clean_documents(edge, bench.limit(0)).columns == edge.columns
+    clean = decontaminate.clean_documents(docs, bench, few=0).collect()
+    assert {r["doc_id"] for r in clean} == {i for i, t in enumerate(texts) if not decontaminate_brute(t, items)[4]}
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 

@@ -150,6 +150,16 @@ class Tokens:
         return rows, hashes
 
 
+def n_tokens(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """How many Tokens each row has, without their hashes."""
+    inside = kind[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    begins[edges] = inside[edges]
+    return sums_between(begins, offsets[:-1], offsets[1:])
+
+
 def per_row(rows: np.ndarray, n_rows: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Counts, or whole-number sums, by row."""
     out = np.bincount(rows, weights=weights, minlength=n_rows)

@@ -22,11 +22,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir. Only a session without one (tests) gets a local folder."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a session on one machine (tests) may go without it
+    and gets a local folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -36,7 +38,19 @@ def kept(df: DataFrame, what: str, *, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/trellis/{what}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trellis_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that `kept` wrote, once nothing that is still to run reads it."""
+    forget_path(df.sparkSession, df._trellis_path)
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_column(df: DataFrame, name: str = "text"):
@@ -44,9 +58,43 @@ def text_column(df: DataFrame, name: str = "text"):
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+#: Plan nodes that give the same rows in the same partitions and order whenever they run.
+_STEADY = {"Project", "Filter", "ColumnarToRow", "InputAdapter", "BroadcastHashJoin", "MapInArrow", "MapInPandas", "AdaptiveSparkPlan"}
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The frame, such that reading it twice gives the same rows in the same partitions and order: itself where it only
-    reads and maps, and a written table where its plan has a shuffle, whose partitions may be merged or ordered anew."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    moved = ("hashpartitioning(", "rangepartitioning(", "RoundRobinPartitioning(", "SinglePartition", "InMemoryTableScan", "Scan ExistingRDD")
-    return kept(df, "settled") if any(x in plan for x in moved) else df
+    """The frame, such that reading it twice gives the same rows in the same partitions and order: itself where its plan
+    only scans files, maps, filters and looks up broadcast tables, and without random numbers; else a written table."""
+    execution = df._jdf.queryExecution()
+
+    def steady(node) -> bool:
+        name = node.nodeName()
+        if name.startswith("Scan ") and "FileSourceScan" in node.getClass().getSimpleName():
+            return True
+        if name == "BroadcastExchange":
+            return True
+        if name == "AdaptiveSparkPlan":
+            return steady(node.inputPlan())
+        inside = node.children()
+        return (name in _STEADY or name.startswith("WholeStageCodegen")) and inside.size() > 0 and all(steady(inside.apply(i)) for i in range(inside.size()))
+
+    return df if execution.analyzed().deterministic() and steady(execution.executedPlan()) else kept(df, "settled")
+
+
+def hot_keys(counts: DataFrame, key: str, n_rows: int, *, at_most: int = 100_000, least: int = 256) -> tuple[DataFrame, int]:
+    """Of `counts` (key, n) the keys of more rows than a limit, and the limit. Rows sum to `n_rows` and the limit is at
+    least its `at_most`th part, so there are at most `at_most` such keys, however large the table: they may be broadcast."""
+    limit = max(least, -(-n_rows // at_most))
+    return counts.where(F.col("n") > limit).select(key, "n"), limit
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, counts: DataFrame, n_rows: int, how: str = "inner") -> DataFrame:
+    """A join on `key`, which is unique on the right. A key with many rows on the left (counted in `counts`: key, n) is
+    parted by a hash of the left's column `spread`, and its row on the right repeated for each part, so that no
+    task gets a whole hot key. Other keys are joined as ever."""
+    hot, limit = hot_keys(counts, key, n_rows)
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_hot", "_parts")
+    copies = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")

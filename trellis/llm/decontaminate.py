@@ -3,54 +3,42 @@
 Words are runs of digits, letters and all that is not ASCII, with A-Z as a-z. A window is `WINDOW` consecutive
 words of a benchmark item; an item of fewer words, but not none, is one window. A document word is hit if it lies
 in any occurrence of a window. From each run of `WINDOW - K + 1` successive k-grams winnowing keeps the least
-hash, so that every span of WINDOW words that a document shares with an item leaves one fingerprint in both. The
-fingerprints are joined; a match is extended to the windows that hold it. Items of K to WINDOW - 1 words keep
-all their k-grams' least hash over their own span, and documents look for spans of just those lengths.
+hash, so that every span of WINDOW words that a document shares with an item leaves one fingerprint in both. An item of
+fewer words is its own fingerprint, and documents are fingerprinted at all spans of just those lengths.
 
-The benchmark is the stated query set. It is read in blocks of at most `block_words` words, and each block's
-fingerprints go to all tasks as one sorted array (at most about 32 bytes a word, so a fixed size). A larger
-benchmark takes more blocks, each a pass over the documents; nothing is dropped.
+Fingerprints of the benchmark and of the documents are tables and meet in a join; a match is extended to the windows that
+may hold it, and these are joined with the benchmark's windows by hash and word by word. Before documents' fingerprints leave
+Python, a Bloom filter of the benchmark's (16 MB at most, whatever the benchmark) drops nearly all that have no partner; it
+drops no other. Texts are judged once for all their copies. Only texts with a fingerprint that passes are
+written down. The benchmark's side of a join is broadcast up to `few_prints` rows, which is counted, and beyond
+that joined by a shuffle in which frequent fingerprints are salted.
 
 Nulls and texts without words have no words and no hits; null item ids or texts take no part. Repeated rows are
-judged each for itself. Items that repeat an id count as one item. An empty benchmark leaves everything clean.
-Columns of the documents named like the results are replaced.
+judged each for itself. Items that repeat an id count as one item. An empty benchmark or an empty table leaves everything clean.
+Columns of the documents named like the results are replaced by `contamination`; `clean_documents` leaves all columns as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import ALNUM, Tokens, column_bytes, per_row, sliding_min, slices
-from .common import small_batches
+from .bytetext import _FOLDED, _MIX_A, ALNUM, Tokens, column_bytes, mix64, n_tokens, sliding_min, slices
+from .common import kept, salted_join, small_batches
 
 WINDOW, K = 13, 5
-BLOCK_WORDS = 2_000_000
-
-
-class Fingerprints:
-    """One block of the benchmark: fingerprints, and the windows that a match may extend to."""
-
-    def __init__(self, ids: list[str], texts: list[str]):
-        data, offsets = column_bytes(pa.array(texts, pa.string()))
-        words = Tokens(data, offsets, ALNUM, fold=True)
-        self.names = np.array(ids, object)
-        #: By length of window: sorted hashes, and the items of each (those of hash i are at firsts[i] to firsts[i + 1]).
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in sorted({*np.minimum(words.counts[words.counts > 0], WINDOW).tolist()}):
-            first, hashes = words.grams(length)
-            rows = words.rows[first]
-            mine = words.counts[rows] >= WINDOW if length == WINDOW else words.counts[rows] == length
-            pairs = np.unique(np.stack([hashes[mine], rows[mine].astype(np.uint64)], 1), axis=0)
-            unique, at = np.unique(pairs[:, 0], return_index=True)
-            self.windows[length] = (unique, np.append(at, len(pairs)), pairs[:, 1].astype(np.int64))
-        at, prints = winnowed(words)
-        self.prints = np.unique(prints[words.counts[words.rows[at]] >= WINDOW])
+#: Rows of the benchmark's tables that are broadcast at most: fingerprints have 8 bytes, windows some 100.
+FEW_PRINTS, FEW_WINDOWS = 2_000_000, 200_000
+#: Bits of the Bloom filter, at most.
+MOST_BITS = 1 << 27
+ADDED = ["n_words", "hit_spans", "items", "n_hit", "n_items", "contaminated"]
+_U = np.uint64
 
 
 def winnowed(words: Tokens, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -69,146 +57,239 @@ def winnowed(words: Tokens, k: int = K, window: int = WINDOW) -> tuple[np.ndarra
     return first[keep], hashes[keep]
 
 
-def among(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value would stand, and whether it is there."""
-    at = np.searchsorted(sorted_values, values)
-    at[at == len(sorted_values)] = 0
-    return at, sorted_values[at] == values if len(sorted_values) else np.zeros(len(values), bool)
-
-
-def matches(words: Tokens, block: Fingerprints) -> tuple[np.ndarray, list[list[str]]]:
-    """Whether each word is hit, and the items with an occurring window by row."""
-    n = len(words)
-    cover = np.zeros(n + 1, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for length, (hashes, firsts, items) in block.windows.items():
-        if n < length or not len(hashes):
-            continue
-        if length == WINDOW:
-            at, prints = winnowed(words)
-            at = at[among(block.prints, prints)[1]]
-            # the windows that hold a matched k-gram
-            starts = np.unique((at[:, None] - np.arange(WINDOW - K + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts + length <= n)]
-            starts = starts[words.rows[starts] == words.rows[starts + length - 1]]
-            spans = np.zeros(len(starts), np.uint64)
-            span_hashes = hash_of(words, starts, length, spans)
-        else:
-            starts, span_hashes = words.grams(length)
-        at, there = among(hashes, span_hashes)
-        starts, at = starts[there], at[there]
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + length, -1)
-        many = firsts[at + 1] - firsts[at]
-        which = np.repeat(firsts[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found.append((np.repeat(words.rows[starts], many), items[which]))
-    items: list[list[str]] = [[] for _ in range(words.n_rows)]
-    if found:
-        pairs = np.unique(np.stack([np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])], 1), axis=0)
-        for row, item in pairs.tolist():
-            items[row].append(block.names[item])
-    return np.cumsum(cover[:-1]) > 0, items
+def mixed(prints: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints with the length of the window they stand for."""
+    return mix64(prints ^ mix64(np.array([length], _U)))
 
 
 def hash_of(words: Tokens, starts: np.ndarray, length: int, out: np.ndarray) -> np.ndarray:
     """Hashes of the runs of `length` words at the given starts; as Tokens.grams makes them."""
-    from .bytetext import _MIX_A, mix64
-
     with np.errstate(over="ignore"):
         for j in range(length):
             out = out * _MIX_A + words.hashes[starts + j]
     return mix64(out)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Fingerprints]:
-    """The benchmark in blocks; the driver holds one at a time."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    ids: list[str] = []
-    texts: list[str] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        ids.append(row["i"])
-        texts.append(row["t"])
-        size += len(row["t"]) // 2 + 1
-        if size >= block_words:
-            yield Fingerprints(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Fingerprints(ids, texts)
-
-
-ADDED = (
-    T.StructType()
-    .add("n_words", "long")
-    .add("hit_spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
-    .add("items", T.ArrayType(T.StringType()))
-)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents' rows with n_words, hit_spans (word ranges, end exclusive, apart and in order), items
-    (names sorted as strings), n_hit, n_items and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop(*ADDED.names, "n_hit", "n_items", "contaminated")
-    out = None
-    for block in blocks(benchmark, item_col, item_text_col, block_words):
-        out = _against(docs if out is None else out, spark.sparkContext.broadcast(block), text_col, first=out is None)
-    if out is None:
-        out = _against(docs, spark.sparkContext.broadcast(Fingerprints([], [])), text_col, first=True)
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _against(docs: DataFrame, block, text_col: str, *, first: bool) -> DataFrame:
-    """One pass: the hits of one block, joined with those of the blocks before it."""
-    schema = T.StructType([*docs.schema.fields, *ADDED.fields]) if first else docs.schema
+class Text:
+    """Words of a column in order and in lower case, one space between them, so that a window is one slice."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = column_bytes(column)
+        self.words = w = Tokens(data, offsets, ALNUM, fold=True)
+        lengths = w.ends - w.starts
+        self.at = np.concatenate([[0], np.cumsum(lengths + 1)])
+        out = np.full(int(self.at[-1]), 32, np.uint8)
+        inside = ALNUM[data]
+        out[np.repeat(self.at[:-1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = _FOLDED[data[inside]]
+        self.bytes = out.tobytes()
+
+    def windows(self, starts: np.ndarray, length: int) -> list[bytes]:
+        first, last = self.at[starts], self.at[starts + length] - 1
+        return [self.bytes[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, length, hash and words of each window of the items."""
+    for whole in batches:
+        for batch in slices(whole, "text", 1_000_000):
+            text = Text(batch.column("text"))
+            words, items = text.words, batch.column("item")
+            for length in np.unique(np.minimum(words.counts[words.counts > 0], WINDOW)).tolist():
+                first, hashes = words.grams(length)
+                mine = np.minimum(words.counts[words.rows[first]], WINDOW) == length
+                first, hashes = first[mine], hashes[mine]
+                yield pa.RecordBatch.from_arrays([items.take(pa.array(words.rows[first])), pa.array(np.full(len(first), length, np.int32)), _signed(hashes), pa.array(text.windows(first, length), pa.binary())], names=["item", "length", "hash", "words"])
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of the items, and the lengths they stand for."""
+    for whole in batches:
+        for batch in slices(whole, "text", 1_000_000):
+            words = Tokens(*column_bytes(batch.column("text")), ALNUM, fold=True)
+            at, prints = winnowed(words)
+            found = [(WINDOW, prints)]
+            for length in np.unique(words.counts[(words.counts > 0) & (words.counts < WINDOW)]).tolist():
+                first, hashes = words.grams(length)
+                found.append((length, hashes[words.counts[words.rows[first]] == length]))
+            for length, prints in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prints), length, np.int32)), _signed(mixed(prints, length))], names=["length", "print"])
+
+
+def _bloom(prints: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Words of a Bloom filter with two bits for each fingerprint, and its number of bits: set by the tasks, joined by OR."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * max(1, n) - 1).bit_length()))
+    place = lambda shift: F.shiftrightunsigned("print", shift).bitwiseAND(F.lit(bits - 1).cast("long"))
+    spots = prints.select(F.explode(F.array(place(0), place(32))).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(_U), bits
+
+
+def _passes(bloom: tuple[np.ndarray, int], prints: np.ndarray) -> np.ndarray:
+    words, bits = bloom
+    out = np.ones(len(prints), bool)
+    for shift in (0, 32):
+        spot = (prints >> _U(shift)) & _U(bits - 1)
+        out &= (words[(spot >> _U(6)).astype(np.int64)] >> (spot & _U(63))) & _U(1) == 1
+    return out
+
+
+SUSPECT = "digest binary, text string, n_words long, prints array<struct<print:long,length:int,at:int>>"
+
+
+def _suspects(docs: DataFrame, bloom, lengths: list[int]) -> DataFrame:
+    """Each text with fingerprints that pass the filter, once, with these: where they are, and for what length they stand."""
+    kind = pa.list_(pa.struct([("print", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                data, offsets = column_bytes(batch.column(text_col))
-                words = Tokens(data, offsets, ALNUM, fold=True)
-                hit, items = matches(words, block.value)
-                if not first:
-                    old = batch.column("hit_spans").to_pylist()
-                    for row, spans in enumerate(old):
-                        for s in spans:
-                            hit[words.firsts[row] + s["start"] : words.firsts[row] + s["end"]] = True
-                    items = [sorted({*a, *b}) for a, b in zip(items, batch.column("items").to_pylist(), strict=True)]
-                else:
-                    items = [sorted({*x}) if x else x for x in items]
-                yield _batch(batch, words, hit, items, first)
-
-    return docs.mapInArrow(work, schema)
-
-
-def _batch(batch: pa.RecordBatch, words: Tokens, hit: np.ndarray, items: list[list[str]], first: bool) -> pa.RecordBatch:
-    starts, ends, rows = runs(hit, words.rows)
-    many = per_row(rows, words.n_rows)
-    local = words.firsts[rows]
-    at = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
-    spans = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(starts - local, pa.int32()), pa.array(ends - local, pa.int32())], ["start", "end"]))
-    new = [pa.array(words.counts, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))]
-    old = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ADDED.names]
-    names = [n for n in batch.schema.names if n not in ADDED.names]
-    return pa.RecordBatch.from_arrays([*old, *new], names=[*names, *ADDED.names])
-
-
-def runs(flags: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the maximal runs of set flags within rows."""
-    n = len(flags)
-    edge = np.ones(n, bool)
-    edge[1:] = rows[1:] != rows[:-1]
-    starts = flags & (edge | ~np.concatenate([[False], flags[:-1]]))
-    last = np.ones(n, bool)
-    last[:-1] = edge[1:]
-    ends = flags & (last | ~np.concatenate([flags[1:], [False]]))
-    at = np.flatnonzero(starts)
-    return at, np.flatnonzero(ends) + 1, rows[at]
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns only."""
-    return contamination(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+            for batch in slices(whole, "text"):
+                column = batch.column("text")
+                words = Tokens(*column_bytes(column), ALNUM, fold=True)
+                found = []
+                for length in lengths:
+                    at, prints = winnowed(words) if length == WINDOW else words.grams(length)
+                    prints = mixed(prints, length)
+                    there = _passes(bloom.value, prints)
+                    found.append((at[there], prints[there], np.full(int(there.sum()), length, np.int32)))
+                at, prints, length = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(words.rows[at], kind="stable")
+                at, prints, length = at[order], prints[order], length[order]
+                rows, many = np.unique(words.rows[at], return_counts=True)
+                local = at - words.firsts[words.rows[at]]
+                ends = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([_signed(prints), pa.array(length), pa.array(local, pa.int32())], fields=[*kind.value_type]))
+                texts = column.take(pa.array(rows))
+                digests = [hashlib.md5(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), texts, pa.array(words.counts[rows], pa.int64()), lists], names=["digest", "text", "n_words", "prints"])
+
+    return docs.mapInArrow(work, SUSPECT).dropDuplicates(["digest"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that may hold a matched fingerprint: digest, n_words, length, start, hash and words."""
+    for whole in batches:
+        for batch in slices(whole, "text", 2_000_000):
+            text = Text(batch.column("text"))
+            words = text.words
+            matched = batch.column("matched")
+            many = np.diff(matched.offsets.to_numpy())
+            flat = matched.flatten()
+            at = flat.field("at").to_numpy() + np.repeat(words.firsts[:-1], many)
+            lengths = flat.field("length").to_numpy()
+            for length in np.unique(lengths).tolist():
+                starts = at[lengths == length]
+                if length == WINDOW:
+                    starts = np.unique((starts[:, None] - np.arange(WINDOW - K + 1)).ravel())
+                    starts = starts[(starts >= 0) & (starts + length <= len(words))]
+                    starts = starts[words.rows[starts] == words.rows[starts + length - 1]]
+                rows = words.rows[starts]
+                hashes = hash_of(words, starts, length, np.zeros(len(starts), _U))
+                columns = [batch.column("digest").take(pa.array(rows)), batch.column("n_words").take(pa.array(rows)), pa.array(np.full(len(starts), length, np.int32)), pa.array(starts - words.firsts[rows], pa.int32()), _signed(hashes), pa.array(text.windows(starts, length), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "n_words", "length", "start", "hash", "words"])
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, spread: str, few: int, n: int) -> DataFrame:
+    """A join of documents with the benchmark's n rows: broadcast if they are few, or else by a salted shuffle.
+    Of `right`, a key's rows are one array, so that keys are unique."""
+    if n <= few:
+        return left.join(F.broadcast(right), key)
+    left = kept(left, "documents-side")
+    return salted_join(left, right, key, spread, left.groupBy(key).agg(F.count("*").alias("n")), left.count())
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", few_prints: int = FEW_PRINTS, few_windows: int = FEW_WINDOWS) -> DataFrame:
+    """digest (MD5), n_words, hit_spans and items of each distinct text that holds a window of an item; a table."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text")).where("item is not null and text is not null")
+    prints = kept(items.mapInArrow(_prints, "length int, print long").distinct(), "benchmark-prints")
+    windows = items.mapInArrow(_windows, "item string, length int, hash long, words binary").groupBy("hash").agg(F.collect_set(F.struct("length", "words", "item")).alias("known"))
+    windows = kept(windows, "benchmark-windows")
+    lengths = sorted(r["length"] for r in prints.select("length").distinct().collect())  # WINDOW at most
+    n_prints, n_windows = prints.count(), windows.count()
+    if not n_prints:
+        return docs.sparkSession.createDataFrame([], "digest binary, n_words long, hit_spans array<struct<start:int,end:int>>, items array<string>")
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(prints, n_prints))
+    texts = docs.select(docs[text_col].cast("string").alias("text")).where("text is not null")
+    suspects = kept(_suspects(texts, bloom, lengths), "suspects")
+    met = _joined(suspects.select("digest", F.explode("prints").alias("p")).select("digest", "p.*"), prints.select("print"), "print", "digest", few_prints, n_prints)
+    matched = met.groupBy("digest").agg(F.collect_list(F.struct("length", "at")).alias("matched"))
+    extended = suspects.drop("prints").join(matched, "digest").mapInArrow(_extended, "digest binary, n_words long, length int, start int, hash long, words binary")
+    held = _joined(extended, windows, "hash", "digest", few_windows, n_windows)
+    held = held.select("digest", "n_words", "start", "length", F.filter("known", lambda k: (k["length"] == F.col("length")) & (k["words"] == F.col("words"))).alias("known")).where(F.size("known") > 0)
+    spans, names = F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))), F.collect_set(F.transform("known", lambda k: k["item"]))
+    found = held.groupBy("digest", "n_words").agg(spans.alias("spans"), names.alias("names"))
+    return kept(found.select("digest", "n_words", _merged("spans").alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten("names"))).alias("items")), "verdicts")
+
+
+def _merged(spans: str) -> Column:
+    """Ranges that overlap or touch as one, in order."""
+    ordered = F.array_sort(spans)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    begin = F.struct(none.alias("done"), F.get(ordered, F.lit(0)).alias("now"))
+
+    def step(a: Column, s: Column) -> Column:
+        apart = s["start"] > a["now"]["end"]
+        grown = F.struct(a["now"]["start"].alias("start"), F.greatest(a["now"]["end"], s["end"]).alias("end"))
+        return F.struct(F.when(apart, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(apart, s).otherwise(grown).alias("now"))
+
+    return F.aggregate(ordered, begin, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+
+
+def n_hit(spans: Column | str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
+
+
+def contaminated(hit: Column, n_words: Column) -> Column:
+    return (hit > 0) & (20 * hit >= n_words)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep_text: bool = True, **options) -> DataFrame:
+    """The documents' rows with n_words, hit_spans (word ranges, end exclusive, apart and in order), items
+    (names sorted as strings), n_hit, n_items and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
+    docs = docs.drop(*ADDED)
+    found = verdicts(docs, benchmark, text_col=text_col, **options)
+    text = docs[text_col].cast("string")
+    stay = [c for c in docs.columns if keep_text or c != text_col]
+    rows = docs.select(F.struct(*(docs[c] for c in stay)).alias("_doc"), text.alias("_text"), digest_of(text).alias("digest"))
+    schema = T.StructType([rows.schema["_doc"], rows.schema["digest"], T.StructField("_n", T.LongType())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("digest"), pa.array(n_tokens(*column_bytes(batch.column("_text")), ALNUM), pa.int64())], names=schema.names)
+
+    out = _with_verdicts(rows.mapInArrow(counted, schema), found)
+    spans = F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>"))
+    out = out.select("_doc.*", F.col("_n").alias("n_words"), spans.alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.withColumn("n_hit", n_hit("hit_spans")).withColumn("n_items", F.size("items").cast("long"))
+    return out.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def _with_verdicts(rows: DataFrame, found: DataFrame, *, few: int = 100_000, few_cells: int = 2_000_000) -> DataFrame:
+    """Rows with the verdicts on their digests, if any: broadcast up to `few` texts and `few_cells` spans and items, which
+    are counted, or else by a shuffle in which texts with many copies are salted."""
+    found = found.select("digest", "hit_spans", "items")
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("hit_spans") + F.size("items")), F.lit(0)).alias("cells")).first()
+    if size["n"] <= few and size["cells"] <= few_cells:
+        return rows.join(F.broadcast(found), "digest", "left")
+    rows = kept(rows.withColumn("_spread", F.xxhash64("_doc")), "counted-rows")
+    return salted_join(rows, found, "digest", "_spread", rows.groupBy("digest").agg(F.count("*").alias("n")), rows.count(), "left")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", few: int = 1_000_000, **options) -> DataFrame:
+    """The documents that aren't contaminated, all their columns as they are. Only the digests of texts to drop are
+    joined: broadcast up to `few` (16 bytes each), which are counted."""
+    found = verdicts(docs, benchmark, text_col=text_col, **options).where(contaminated(n_hit("hit_spans"), F.col("n_words"))).select(F.col("digest").alias("_bad"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), digest_of(docs[text_col].cast("string")).alias("_digest"))
+    found = F.broadcast(found) if found.limit(few + 1).count() <= few else found
+    return rows.join(found, F.col("_digest") == F.col("_bad"), "left_anti").select("_doc.*")

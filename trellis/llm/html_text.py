@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytetext import ALNUM, Tokens, column_bytes
+from .bytetext import ALNUM, Tokens, column_bytes, slices
 from .common import small_batches
 
 #: Fixed values of HTML.
@@ -144,8 +144,8 @@ def _slot(part: str) -> int:
     return xxhash.xxh32_intdigest(part) % PATHS
 
 
-def inputs(pages: list[list[Leaf]]) -> np.ndarray:
-    """A vector for each leaf of the pages."""
+def inputs(pages: list[list[Leaf]], places: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """A vector for each leaf of the pages, or of parts of pages: places has each one's first leaf and its page's leaves."""
     flat = [x for p in pages for x in p]
     out = np.zeros((len(flat), PATHS + WORDS + MEASURES), np.float32)
     if not flat:
@@ -166,7 +166,7 @@ def inputs(pages: list[list[Leaf]]) -> np.ndarray:
     out[:, PATHS : PATHS + WORDS] /= np.sqrt(n)[:, None]
     length = np.diff(offsets)
     stops = np.bincount(words.rows, weights=np.isin(data[np.minimum(words.ends, len(data) - 1)], np.frombuffer(b".,;:!?", np.uint8)), minlength=len(flat))
-    place = np.concatenate([(np.arange(len(p)) + 0.5) / len(p) for p in pages if p])
+    place = np.concatenate([(first + np.arange(len(p)) + 0.5) / n for p, (first, n) in zip(pages, places or [(0, len(p)) for p in pages], strict=True) if p])
     linked = np.array([x.linked / max(1, len(x.text)) for x in flat])
     measures = [np.log1p(length) / 8, np.log1p(n) / 6, stops / n, linked, place, n < 4, n > 15, length / np.maximum(n, 1) / 10]
     out[:, PATHS + WORDS :] = np.stack(measures, 1)
@@ -188,10 +188,12 @@ class Labeller:
         for d in "fb":
             self.w |= {f"x{d}": draw(INNER, 4 * HIDDEN), f"h{d}": draw(HIDDEN, 4 * HIDDEN), f"b{d}": np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)}
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Logits of (time, page, vector); mask is 1 where a page has a leaf."""
+    def inner(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.w["in"] + self.w["in_b"])
+
+    def forward(self, inner: np.ndarray, mask: np.ndarray, keep: bool = False):
+        """Logits of (time, page, inner vector); mask is 1 where a page has a leaf."""
         w = self.w
-        inner = np.tanh(x @ w["in"] + w["in_b"])
         steps, n = mask.shape
         hs, saved = {}, {}
         for d in "fb":
@@ -217,7 +219,7 @@ class Labeller:
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.w
-        logits, inner, both, saved = self.forward(x, mask, keep=True)
+        logits, inner, both, saved = self.forward(self.inner(x), mask, keep=True)
         delta = ((_sigmoid(logits) - y) * mask / mask.sum()).astype(np.float32)
         out = {"out": both.reshape(-1, 2 * HIDDEN).T @ delta.reshape(-1, 1), "out_b": np.array([delta.sum()], np.float32)}
         d_both = delta[..., None] * w["out"][:, 0]
@@ -241,19 +243,42 @@ class Labeller:
         out["in_b"] = d_in.sum((0, 1))
         return out
 
-    def labels(self, pages: list[list[Leaf]], batch: int = 64) -> list[np.ndarray]:
-        """For each page, which leaves are main text. Pages of like length are read together."""
+    def labels(self, pages: list[list[Leaf]], batch: int = 64, most: int = 20_000) -> list[np.ndarray]:
+        """For each page, which leaves are main text. Pages of like length are read together, at most `batch` of them and
+        about `most` leaves with their padding (a longer page alone), and turned to inner vectors piece by piece, so that a page
+        of any length takes about a kilobyte for each of its leaves."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), batch):
-            mine = order[a : a + batch]
-            x, mask = padded([pages[i] for i in mine])
-            logits = self.forward(x, mask)[0]
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
+        a = 0
+        while a < len(order):
+            steps = len(pages[order[a]])
+            mine = order[a : a + max(1, min(batch, most // steps))]
+            a += len(mine)
+            inner, mask = np.zeros((steps, len(mine), INNER), np.float32), np.zeros((steps, len(mine)), np.float32)
+            for k, i in enumerate(mine):
+                mask[: len(pages[i]), k] = 1
+                for first in range(0, len(pages[i]), most):
+                    part = pages[i][first : first + most]
+                    inner[first : first + len(part), k] = self.inner(inputs([part], [(first, len(pages[i]))]))
+            logits = self.forward(inner, mask)[0]
             for k, i in enumerate(mine):
-                out[i] = logits[: len(pages[i]), k] > 0
+                out[i] = shared(pages[i], logits[: len(pages[i]), k]) > 0
         return out
 
 
+def shared(page: list[Leaf], logits: np.ndarray) -> np.ndarray:
+    """Blocks of one kind (tag and names) under one element share the mean of their logits: items of a list, paragraphs of a
+    container. So a short paragraph among others is judged with them, and an advert between them by itself."""
+    kinds: dict[tuple, int] = {}
+    of = np.empty(len(page), np.int64)
+    for i, leaf in enumerate(page):
+        node = leaf.node
+        while node and node.tag not in BLOCKS:
+            node = node.above
+        of[i] = kinds.setdefault((id(node.above), node.parts) if node else (0, i), len(kinds))
+    return (np.bincount(of, weights=logits) / np.bincount(of))[of]
+
+
 def padded(pages: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray]:
     flat, steps = inputs(pages), max(map(len, pages))
     x = np.zeros((steps, len(pages), flat.shape[1]), np.float32)
@@ -272,7 +297,8 @@ def training_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     pick = lambda *x: str(rng.choice(x))
 
     def prose(least: int, most: int) -> str:
-        words = [word() for _ in range(rng.integers(least, most + 1))]
+        n = int(rng.integers(least, most + 1))
+        words = [word()] * n if rng.random() < 0.03 else [word() for _ in range(n)]  # now and then one word over and over
         out = []
         for i, w in enumerate(words):
             junk = pick("***", "&&&", "$$$", "%%%", " |", "!!") if odd else ""
@@ -313,7 +339,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, set[str]]:
             out.append(f"<h1>{keep(prose(2, 12))}</h1>")
         for _ in range(rng.integers(1, 14)):
             roll = rng.random()
-            text = prose(1, 12) if rng.random() < 0.25 else prose(8, 120)
+            text = prose(1, 12) if rng.random() < 0.45 else prose(8, 120)
             if roll < 0.72:
                 out.append(f"<p>{keep(text)}</p>")
             elif roll < 0.80:
@@ -383,16 +409,17 @@ def trained(pages: int = 700, epochs: int = 9, seed: int = 7, rate: float = 0.01
 def main_text(pages: DataFrame, model: Labeller | None = None, *, html_col: str = "html", keep_html: bool = False) -> DataFrame:
     """The pages (without the html, unless it is to stay) with text and n_chars."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 100)
     pages = pages.drop("text", "n_chars")
     stay = [c for c in pages.columns if keep_html or c != html_col]
     weights = spark.sparkContext.broadcast(model or trained())
     schema = T.StructType([*(pages.schema[c] for c in stay), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [leaves(x.as_py()) for x in batch.column(html_col)]
-            texts = ["\n".join(x.text for x, m in zip(p, keep, strict=True) if m) for p, keep in zip(found, weights.value.labels(found), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*stay, "text", "n_chars"])
+        for whole in batches:
+            for batch in slices(whole, html_col):
+                found = [leaves(x.as_py()) for x in batch.column(html_col)]
+                texts = ["\n".join(x.text for x, m in zip(p, keep, strict=True) if m) for p, keep in zip(found, weights.value.labels(found), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*stay, "text", "n_chars"])
 
     return pages.mapInArrow(work, schema)

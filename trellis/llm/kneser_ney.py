@@ -1,7 +1,9 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model (Chen and Goodman, 1999).
 
-One model a language, over characters: n-grams of `ORDER` characters, texts padded in front. A character is folded to 12
-bits (code point modulo 4095, plus 1; 0 pads), so that an n-gram is one 64-bit number, its context that number shifted,
+One model a language, over characters: n-grams of `ORDER` characters, texts padded in front. A character has 12
+bits: the `ALPHABET` most frequent characters of a language's training text have a number each (counted over all of it), all
+others share one, 0 pads. An n-gram with a character that training never saw has no counts whichever character it is, so nothing is
+lost in a language of up to 4,094 characters; in one of more, its rarest share a number. So an n-gram is one 64-bit number, its context that number shifted,
 its suffix that number masked. The model is trained on trusted text: documents that `labels` call good and not toxic.
 Every fifth of them, by hash, is held out; a language's threshold is a quantile of the perplexities of its held-out
 documents, and documents above it are rejected.
@@ -33,15 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
-from .bytetext import LEADS, column_bytes
+from .bytetext import LEADS, column_bytes, slices
 from .common import kept, settled, small_batches, text_column
 
 ORDER, BITS = 5, 12
+ALPHABET = (1 << BITS) - 2
 QUANTILE = 0.995
 FEW_IDS = 2_000_000
 ADDED = T.StructType().add("n_scored", "long").add("log2_prob", "double").add("toxic_contrast", "double").add("perplexity", "double").add("threshold", "double").add("toxic_threshold", "double").add("kept", "boolean")
@@ -59,8 +62,16 @@ def _toxic_column(lang: Column) -> Column:
     return F.concat(F.lit(TOXIC), F.coalesce(lang, F.lit(TOXIC)))
 
 
-def grams_of(column: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Each character's n-gram, row after row, and the rows' offsets in them."""
+def _language(key: str | None) -> str | None:
+    """The language of a model's key."""
+    if key is None or not key.startswith(TOXIC):
+        return key
+    rest = key[len(TOXIC) :]
+    return None if rest == TOXIC else rest
+
+
+def codes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, row after row, and the rows' offsets in them."""
     data, offsets = column_bytes(column)
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.concatenate([[0], np.cumsum(LEADS[data], dtype=np.int64)])[offsets]
@@ -68,7 +79,58 @@ def grams_of(column: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np
         rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    codes = (codes % 4095 + 1).astype(np.int64)
+    return codes, starts
+
+
+class Alphabets:
+    """Each language's known characters. A table of all code points is made when a language is met; a few are kept."""
+
+    def __init__(self, known: dict[str | None, np.ndarray]):
+        self.known, self.tables = known, {}
+
+    def __getstate__(self):
+        return self.known
+
+    def __setstate__(self, known):
+        self.__init__(known)
+
+    def table(self, key: str | None) -> np.ndarray:
+        lang = _language(key)
+        if lang not in self.tables:
+            if len(self.tables) > 3:
+                self.tables.pop(next(iter(self.tables)))
+            table = np.ones(0x110000, np.int16)
+            chars = self.known.get(lang, np.empty(0, np.int64))
+            table[chars] = np.arange(2, len(chars) + 2)
+            self.tables[lang] = table
+        return self.tables[lang]
+
+
+def alphabets(docs: DataFrame, *, text_col: str, lang_col: str, most: int = ALPHABET) -> Alphabets:
+    """The most frequent characters of each language, of equals the least. At most `most` numbers a language come to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                langs = np.array([repr(_language(x)) for x in batch.column(lang_col).to_pylist()], object)
+                for lang in dict.fromkeys(langs.tolist()):
+                    codes, _ = codes_of(batch.column(text_col).filter(pa.array(langs == lang)))
+                    many = np.bincount(codes)
+                    chars = np.flatnonzero(many)
+                    name = next(x for x, y in zip(batch.column(lang_col).to_pylist(), langs, strict=True) if y == lang)
+                    yield pa.RecordBatch.from_arrays([pa.array([_language(name)] * len(chars), pa.string()), pa.array(chars.astype(np.int32)), pa.array(many[chars])], names=["lang", "char", "n"])
+
+    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(work, "lang string, char int, n long")
+    by = Window.partitionBy("lang").orderBy(F.desc("n"), "char")  # a language has no more characters than there are code points
+    rows = found.groupBy("lang", "char").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
+    rows = rows.groupBy("lang").agg(F.array_sort(F.collect_list("char")).alias("chars")).collect()
+    return Alphabets({r["lang"]: np.array(r["chars"], np.int64) for r in rows})
+
+
+def grams_of(column: pa.Array | pa.ChunkedArray, table: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Each character's n-gram, row after row, and the rows' offsets in them; `table` has each code point's number."""
+    codes, starts = codes_of(column)
+    codes = table[codes].astype(np.int64)
     local = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
     out = codes.copy()
     for j in range(1, order):
@@ -110,7 +172,7 @@ def _opened_logs(data: bytes) -> np.ndarray:
     return out.view("<f4")[:, 0]
 
 
-def _by_language(table: pa.Table, text_col: str, lang_col: str, order: int, step: int = 2_000_000) -> Iterator[tuple[str | None, list[np.ndarray]]]:
+def _by_language(table: pa.Table, text_col: str, lang_col: str, order: int, books: Alphabets, step: int = 2_000_000) -> Iterator[tuple[str | None, list[np.ndarray]]]:
     """Each language's n-grams, in arrays of bounded size (but for a single long text)."""
     langs = table.column(lang_col).to_pylist()
     for lang in dict.fromkeys(langs):
@@ -119,18 +181,18 @@ def _by_language(table: pa.Table, text_col: str, lang_col: str, order: int, step
         first, out = 0, []
         while first < len(mine):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, "right")) - 1)
-            out.append(grams_of(mine.slice(first, last - first), order)[0])
+            out.append(grams_of(mine.slice(first, last - first), books.table(lang), order)[0])
             first = last
         yield lang, out
 
 
-def gram_counts(docs: DataFrame, *, text_col: str, lang_col: str, order: int, n_shards: int | None = None) -> DataFrame:
-    """lang, gram and count over all the documents given; summed by block, then by shard of n-grams."""
-    n_shards, inner = n_shards or max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), (1 << (BITS * max(0, order - 2))) - 1
+def gram_counts(docs: DataFrame, books: Alphabets, *, text_col: str, lang_col: str, order: int, n_shards: int | None = None) -> DataFrame:
+    """lang, gram and count over all the documents given; summed by block, then by shard of n-grams, more of them for a larger input."""
+    n_shards, inner = n_shards or _n_shards(docs), (1 << (BITS * max(0, order - 2))) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in blocks(batches, text_col):
-            for lang, parts in _by_language(table, text_col, lang_col, order):
+            for lang, parts in _by_language(table, text_col, lang_col, order, books):
                 grams, many = _counted([(distinct, np.bincount(at, minlength=len(distinct))) for distinct, at in map(_indexed, parts)])
                 shard = _shard((grams >> BITS) & inner, n_shards)
                 for s in np.unique(shard):
@@ -218,21 +280,21 @@ def _left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on[0] & on[1], "left").drop(*(f"_r_{c}" for c in keys))
 
 
-def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, keep_text: bool = False, n_shards: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, levels: DataFrame, books: Alphabets, *, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, keep_text: bool = False, n_shards: int | None = None) -> DataFrame:
     """The documents with n_scored (characters), log2_prob, their sum (null for none, or without a model), and toxic_contrast."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = settled(docs.drop("n_scored", "log2_prob", "toxic_contrast"))
     stay = [c for c in docs.columns if keep_text or c not in (text_col, lang_col)]
     use = docs.select(F.struct(*(docs[c] for c in stay)).alias("_doc"), text_column(docs, text_col).alias("_text"), docs[lang_col].cast("string").alias("_lang"))
-    n_shards = n_shards or max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 4)
+    n_shards = n_shards or _n_shards(docs)
 
     inner, suffix_mask = (1 << (BITS * (order - 2))) - 1, (1 << (BITS * (order - 1))) - 1
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
             check = checksum(table, "_text")
-            for lang, parts in _by_language(table, "_text", "_lang", order):
+            for lang, parts in _by_language(table, "_text", "_lang", order, books):
                 grams = np.unique(np.concatenate([_indexed(p)[0] for p in parts]))
                 shard = _shard((grams >> BITS) & inner, n_shards)
                 for s in np.unique(shard):
@@ -291,7 +353,7 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
             langs = table.column("_lang").to_pylist()
             for lang in dict.fromkeys(langs):
                 mine = table.filter(pa.array([x == lang for x in langs])).combine_chunks()
-                out += _summed(mine, known.get(lang), order, n_shards, inner)
+                out += _summed(mine, known.get(lang), books.table(lang), order, n_shards, inner)
         out = pa.concat_tables(out)
         return pa.table([*out.column("_doc").combine_chunks().flatten(), out.column("n"), out.column("log"), out.column("contrast")], names=[*stay, "n_scored", "log2_prob", "toxic_contrast"])
 
@@ -299,7 +361,7 @@ def scored(docs: DataFrame, levels: DataFrame, *, text_col: str = "text", lang_c
     return lined.groupBy("block").cogroup(use.mapInArrow(ship, "block long, rows binary").groupBy("block")).applyInArrow(summed, schema)
 
 
-def _summed(table: pa.Table, known: dict[int, tuple[bytes, bytes | None]] | None, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:
+def _summed(table: pa.Table, known: dict[int, tuple[bytes, bytes | None]] | None, book: np.ndarray, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:
     """One language's documents of a block with the sums of their n-grams' logs, and their contrast; known: each shard's logs and ratios."""
     column, pieces, first = table.column("_text").combine_chunks(), [], 0
     if isinstance(column, pa.ChunkedArray):
@@ -307,7 +369,7 @@ def _summed(table: pa.Table, known: dict[int, tuple[bytes, bytes | None]] | None
     _, offsets = column_bytes(column)
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, "right")) - 1)
-        grams, starts = grams_of(column.slice(first, last - first), order)
+        grams, starts = grams_of(column.slice(first, last - first), book, order)
         pieces.append((first, last, starts, *_indexed(grams)))
         first = last
     if known:
@@ -378,6 +440,10 @@ class _Joined:
         return np.log2(out)
 
 
+def _n_shards(docs: DataFrame) -> int:
+    return max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions() // 4)
+
+
 def _shard(middles: np.ndarray, n_shards: int) -> np.ndarray:
     return (middles ^ (middles >> 24)) % 1_000_003 % n_shards
 
@@ -400,12 +466,13 @@ def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), docs[id_col].alias("_key")).join(good, F.col("_key") == F.col("_id"), "left")
     lang = F.col("_row")[lang_col].cast("string")
     train = rows.where(F.col("_fold") != 0).select(text_column_of(text_col).alias("text"), F.when(F.col("_bad"), _toxic_column(lang)).otherwise(lang).alias("lang"))
-    counts = kept(gram_counts(train, text_col="text", lang_col="lang", order=order), "gram-counts")
+    books = alphabets(train, text_col="text", lang_col="lang")
+    counts = kept(gram_counts(train, books, text_col="text", lang_col="lang", order=order), "gram-counts")
     lower = kept(model(counts, order).where(F.col("k") < order), "gram-levels")
     levels = counts.select(F.lit(order).alias("k"), "lang", "gram", "n").unionByName(lower)
     stay = [c for c in columns if keep_text or c != text_col]
     flat = rows.select(F.struct(*(F.col("_row")[c].alias(c) for c in stay)).alias("_stay"), lang.alias("_l"), ((F.col("_fold") == 0) & ~F.col("_bad")).alias("_held"), text_column_of(text_col).alias("_t"), lang.alias("_lang_of"))
-    flat = kept(scored(flat, levels, text_col="_t", lang_col="_lang_of", order=order), "document-scores")
+    flat = kept(scored(flat, levels, books, text_col="_t", lang_col="_lang_of", order=order), "document-scores")
     perplexity = F.when(F.col("n_scored") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.col("n_scored")))
     flat = flat.withColumn("_p", perplexity)
     limits = flat.where("_held and _p is not null").groupBy(F.col("_l").alias("_of")).agg(F.percentile_approx("_p", quantile, 10_000).alias("_limit"), F.percentile_approx("toxic_contrast", quantile, 10_000).alias("_most"))

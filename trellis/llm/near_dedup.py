@@ -13,12 +13,14 @@ each give keys; at similarity 0.8 a pair shares none of them with a probability
 
 Copies are first made one node by digest. Nodes that share a key are never paired with one another outright: each bucket
 compares its members with one leader, and links make components. What remains are buckets whose members lie in several
-components. Each is dealt in chunks of at most `CHUNK` members, a task has the texts of two chunks at a time and
-counts all overlaps across components exactly; it gives only the links that join components further, at most one for each member. A bucket
-of more than `LARGE` members that still lie in several components holds texts that are alike but mostly not enough: it is
-parted by a second and then a third shared key (a pair at 0.8 that shares one key shares no other with a
-probability below 8e-6) and goes on with another leader, before chunks are compared. Every link that the keys find is so tested or lies
-within a component. All comparisons are made on the texts, counts and all.
+components: texts that are alike but mostly not enough. Those of more than `LARGE` such members are dealt anew by an exact
+prefix filter: two texts of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 elements of each of
+them (n elements, the k-th copy of a shingle an element of its own) in any one order of all elements. The order puts frequent
+elements last; which are frequent is a list of at most `FREQUENT`, so texts meet in small groups, under elements that are
+rare. Whatever the sizes, each remaining bucket is dealt in chunks of at most `CHUNK` members; a task has the texts of two chunks at a time and
+counts all overlaps across components exactly; it gives only the links that join components further, at most one for each member.
+So every pair that shares a key is tested or lies within a component, at any size of bucket. All comparisons are made on the
+texts, counts and all. Joins on keys that many rows share are salted.
 
 A text without words has no shingles and is linked to its exact copies only; a null text is linked to nothing. Null
 ids and repeated rows are ordinary rows. Columns named like the results are replaced. Empty tables give empty results.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import NOT_SPACE, Tokens, column_bytes, mix64, slices
-from .common import kept, small_batches
+from .common import forget, kept, salted_join, small_batches
 from .components import components
 
 SHINGLE, LEAST_NUMERATOR, LEAST_DENOMINATOR = 5, 4, 5
@@ -43,8 +45,10 @@ LEAST = LEAST_NUMERATOR / LEAST_DENOMINATOR
 BANDS, ROWS = 40, 6
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
-#: Buckets of more members than this are parted by further keys, in at most so many turns.
-LARGE, MOST_TURNS = 8192, 2
+#: Buckets of more members than this, in several components, are dealt anew by rare elements.
+LARGE = 8192
+#: At most so many elements are known as frequent: those of more than that part of all occurrences.
+FREQUENT = 500_000
 ADDED = ["class_id", "class_rows"]
 _U = np.uint64
 
@@ -153,42 +157,83 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     seed = _seed(nodes)
     node = F.xxhash64("digest", F.lit(seed)).alias("node")
     members = nodes.select(node, F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("key", "leader")
-    members = kept(members.join(shared, "key").select("key", "node", "leader"), "members")
+    shared = kept(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "buckets")
+    n_nodes = nodes.count()
+    members = kept(salted_join(members, shared.select("key", "leader"), "key", "node", shared, BANDS * n_nodes), "members")
     texts = _texts(use, nodes.select(node, "digest", "id"), members.select("node").distinct())
     tested = kept(_verify(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts), "tested")
     links = tested.where("linked").select("a", "b")
-    members, turn = members.select("key", "node"), 0
     roots = kept(components(links), "roots")
-    while True:
-        placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-        members = kept(placed.join(mixed, "key"), "members")
-        turn += 1
-        if turn > MOST_TURNS or not members.where(F.col("n") > LARGE).limit(1).count():
-            break
-        members = kept(_parted(members, nodes.select(node, "keys")), "members")
-        draw = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "root")
-        leaders = members.groupBy("key").agg(F.min(draw).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
-        pairs = members.join(leaders, "key").where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+    members = _mixed(members.select("key", "node"), roots)
+    if members.where(F.col("n") > LARGE).limit(1).count():
+        members = members.where(F.col("n") <= LARGE).select("key", "node").unionByName(_by_rare_elements(members.where(F.col("n") > LARGE).select("node").distinct(), texts))
+        members = _mixed(kept(members, "members"), roots)
+        leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "root")).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
+        pairs = salted_join(members, leaders, "key", "node", members.groupBy("key").count().withColumnRenamed("count", "n"), members.count()).where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
         links = links.unionByName(kept(_verify(pairs.distinct(), texts), "tested").where("linked").select("a", "b"))
         roots = kept(components(links), "roots")
-        members = members.select("key", "node")
+        members = _mixed(members.select("key", "node"), roots)
     more = kept(_chunks(members, texts).groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long"), "links")
     if more.limit(1).count():
         roots = kept(components(links.unionByName(more)), "roots")
-    rooted = nodes.select(node, "digest", "id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n_rows").alias("class_rows"))
-    return kept(rooted.join(least, "root").select("digest", "root", "class_id", "class_rows"), "classes")
+    rooted = kept(nodes.select(node, "digest", "id", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n_rows").alias("class_rows"), F.count("*").alias("n"))
+    out = salted_join(rooted.select("node", "digest", "root", "n_rows"), least.select("root", "class_id", "class_rows"), "root", "node", least, n_nodes)
+    return kept(out.select("digest", "root", "class_id", "class_rows", "n_rows"), "classes")
 
 
-def _parted(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """The members, those of large buckets under each pair of their bucket's key and another of their keys."""
-    large = F.col("n") > LARGE
-    other = members.where(large).join(keys, "node").select("key", "node", "root", F.explode("keys").alias("k2")).where("k2 <> key")
-    both = other.select(F.xxhash64(F.least("key", "k2"), F.greatest("key", "k2")).alias("key"), "node", "root").distinct()
-    mixed = both.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return members.where(~large).select("key", "node", "root").unionByName(both.join(mixed, "key", "left_semi"))
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (key, node) of buckets that lie in several components, with their roots and the buckets' sizes."""
+    placed = kept(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    by = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    mixed = by.where("low <> high").select("key", "n")
+    out = kept(salted_join(placed, mixed, "key", "node", by, placed.count()), "members")
+    forget(placed)
+    return out
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's elements: its shingles, the k-th copy of one an element of its own."""
+    for whole in batches:
+        for batch in slices(whole, "text", 2_000_000):
+            rows, elements = _expanded(*multisets(batch.column("text"))[:3])
+            order = np.argsort(rows, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "elements"])
+
+
+def _expanded(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and elements of multisets."""
+    copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(rows, counts), mix64(np.repeat(grams, counts) + copy.astype(_U) * _U(0x8EBC6AF09C88C6E3))
+
+
+def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """key and node: each node under the elements of its prefix that another node has too."""
+    listed = kept(texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, elements array<long>"), "elements")
+    total = listed.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
+    # occurrences sum to `total`, so at most FREQUENT elements have more than its FREQUENT-th part
+    often = listed.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > max(8, -(-total // FREQUENT))).toArrow()
+    order = np.argsort(often.column("e").to_numpy())
+    known = texts.sparkSession.sparkContext.broadcast((often.column("e").to_numpy()[order], often.column("count").to_numpy()[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = known.value
+        for batch in batches:
+            lists = batch.column("elements")
+            keys, nodes_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for node, mine in zip(batch.column("node").to_pylist(), (lists[i].values.to_numpy() for i in range(len(lists))), strict=True):
+                at = np.minimum(np.searchsorted(names, mine), max(0, len(names) - 1))
+                seen = np.where(names[at] == mine, counts[at], 0) if len(names) else np.zeros(len(mine), np.int64)
+                first = np.lexsort((mine, seen))[: len(mine) - -(-LEAST_NUMERATOR * len(mine) // LEAST_DENOMINATOR) + 1]
+                keys.append(mine[first])
+                nodes_of.append(np.full(len(first), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes_of))], names=["key", "node"])
+
+    found = kept(listed.mapInArrow(prefixes, "key long, node long"), "prefixes")
+    by = found.groupBy("key").agg(F.count("*").alias("n"))
+    return salted_join(found, by.where("n > 1").select("key"), "key", "node", by, found.count())
 
 
 def _chunks(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,9 +248,8 @@ def _chunks(members: DataFrame, texts: DataFrame) -> DataFrame:
 def overlap_table(column: pa.Array | pa.ChunkedArray, slab: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Of all pairs of the texts the sums of the lesser counts, and each text's sum of counts."""
     rows, grams, counts, n = multisets(column)
-    # the k-th copy of a shingle is an element of its own, so that overlaps of counts are overlaps of sets
-    copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    element, row = mix64(np.repeat(grams, counts) + copy.astype(_U) * _U(0x8EBC6AF09C88C6E3)), np.repeat(rows, counts)
+    # overlaps of counts are overlaps of sets of elements
+    row, element = _expanded(rows, grams, counts)
     _, number, many = np.unique(element, return_inverse=True, return_counts=True)
     shared = many[number] > 1
     dense = np.cumsum(many > 1) - 1
@@ -258,9 +302,14 @@ def _texts(use: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and whether they are linked."""
-    side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, linked boolean")
+    """a, b and whether they are linked. A text that is in very many pairs is dealt over many tasks."""
+    pairs = kept(pairs, "pairs")
+    n, out = pairs.count(), pairs
+    for side in ("a", "b"):
+        other = "b" if side == "a" else "a"
+        by = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        out = salted_join(out, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side, other, by, n)
+    return out.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -269,11 +318,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = classes(docs, id_col=id_col, text_col=text_col)
     stay = F.struct(*(docs[c] for c in docs.columns if keep_text or c != text_col)).alias("_doc")
     rows = docs.select(stay, docs[id_col].alias("_id"), digest_of(docs[text_col].cast("string")).alias("digest"))
-    out = rows.join(found, "digest", "left")
+    out = salted_join(rows, found.select("digest", "class_id", "class_rows"), "digest", "_id", *_copies(found), how="left")
     single = F.col("digest").isNull()
     return out.select("_doc.*", F.when(single, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(single, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"))
 
 
+def _copies(found: DataFrame) -> tuple[DataFrame, int]:
+    """How many rows have each digest, and all of them."""
+    return found.select("digest", F.col("n_rows").alias("n")), found.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+
+
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, the one with the least id, with the columns of the documents; rows with null texts stay."""
     found = classes(docs, id_col=id_col, text_col=text_col)
@@ -281,7 +335,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs[id_col].alias("_id"), digest.alias("digest"))
     # each class's least id, and of the texts that it has under that id the least
     narrow = docs.select(docs[id_col].alias("_id"), digest.alias("digest")).where("digest is not null")
-    chosen = narrow.join(found, "digest").where(F.col("_id").eqNullSafe(F.col("class_id")))
+    chosen = salted_join(narrow, found.select("digest", "root", "class_id"), "digest", "_id", *_copies(found)).where(F.col("_id").eqNullSafe(F.col("class_id")))
     repeated = chosen.groupBy("root").count().where("count > 1").limit(1).count() > 0
     chosen = chosen.groupBy("root").agg(F.min("digest").alias("_d"), F.min("class_id").alias("_c"))
     out = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_c")) & (F.col("digest") == F.col("_d")), "left_semi")

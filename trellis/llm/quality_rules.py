@@ -207,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(texts, text_col="_text").select("_id", "_label", *STATS).toPandas()
-    rows = rows.sort_values(["_id", *STATS]).drop_duplicates("_id")
+    # of an id's texts the least statistics, chosen before anything comes to the driver: at most max_rows rows do
+    one = with_statistics(texts, text_col="_text").groupBy("_id", "_label").agg(F.min(F.struct(*STATS)).alias("s"))
+    rows = one.select("_id", "_label", "s.*").toPandas().sort_values("_id")
     bad = (rows["_label"] == 0).to_numpy()
     if not bad.any() or bad.all():
         return []

@@ -1,16 +1,19 @@
 r"""Secret scans over a trigram inverted index, with DataFrame functions only.
 
-Each rule is a regex with the literals that any match must hold: alternatives of literals. From each the Boolean
-query follows: a document is a candidate if, for some alternative, it holds all trigrams of the literal (compared in
-lower case, so that it never misses). The index has a posting (trigram, document) for each trigram that
-some rule asks for. Postings are intersected by one aggregation over documents, and candidates join their texts for
-the regex itself. A rule without a mandatory literal of three characters is run on every text.
+From each rule's regex a Boolean query over trigrams is derived, as in regular-expression search with a trigram index
+(Cox, 2012): `trigrams.query` parses the regex and gives alternatives, each a set of trigrams that a text must hold, compared in
+lower case, so that it never misses. A rule without a mandatory trigram has no query and is run on every text.
+
+The trigrams that some rule asks for are taken from a text by one regex over the lower-case text. They are the
+document's postings; `postings` gives them as a table (trigram, document), the index, and `candidates` intersects that
+by one aggregation over documents, for an index that is kept. As all postings of a document come from its own row, `scan` intersects them
+there, by bits, before anything moves: no text is shuffled. Candidates are then matched by the regex itself.
 
 Offsets are code points, end exclusive. Matches of a rule are leftmost and do not overlap; those that are too
 short are dropped after matching, so they still use up their text, as the rules state. `hex` is a run of 16 or more
 hexadecimal digits, and `access` may state its length in the regex: a run that is too short can hold no longer match.
 
-Null and empty texts have no spans. Documents are told apart by id and text; repeated rows are judged alike. Columns
+Null and empty texts have no spans. Repeated rows are judged each for itself. Columns
 named like the results are replaced. An empty table gives no rows.
 """
 
@@ -21,67 +24,78 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import trigrams
 from .common import text_column
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """A kind, its Java regex, the literals of which a match holds at least one, and the length that a group must have."""
+    """A kind, its Java regex, and the length that a group must have."""
 
     kind: str
     pattern: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 0
 
     def queries(self) -> list[list[str]]:
-        """For each literal its trigrams, all of which must be there; empty: scan all texts."""
-        found = [sorted({w.lower()[i : i + 3] for i in range(len(w) - 2)}) for w in self.literals]
-        return found if found and all(found) else []
+        """Alternatives, each the trigrams that must all be there; empty: scan all texts."""
+        return trigrams.query(self.pattern)
 
 
 #: The base kinds in their order, then formats of tokens that their issuers publish.
 RULES = (
-    SecretRule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), 1, 12),
-    SecretRule("access", r"AKIA[A-Z0-9]{14,}", ("AKIA",)),
+    SecretRule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    SecretRule("access", r"AKIA[A-Z0-9]{14,}"),
     SecretRule("hex", r"[0-9a-f]{16,}"),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    SecretRule("google", r"AIza[A-Za-z0-9_-]{35}", ("AIza",)),
-    SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", ("rk_live_", "sk_live_")),
-    SecretRule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    SecretRule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
+    SecretRule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
 )
 ADDED = ["spans", "n_assign", "n_access", "n_hex"]
 
 
+#: Bits in a word of postings.
+WORD = 63
+
+
+def _wanted(rules: tuple[SecretRule, ...]) -> list[str]:
+    return sorted({t for r in rules for q in r.queries() for t in q})
+
+
+def _found(text: Column, wanted: list[str]) -> Column:
+    """The wanted trigrams that a text holds, each once: by one regex, which looks ahead at each place."""
+    if not wanted:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(trigrams.any_of(wanted)), F.lit(1)))
+
+
 def postings(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, text_col: str = "text", key_col: str = "_key") -> DataFrame:
     """The index: trigram and document, for the trigrams that the rules ask for."""
-    wanted = sorted({t for r in rules for q in r.queries() for t in q})
-    low = F.lower(F.col("_text"))
-    found = docs.select(F.col(key_col), text_column(docs, text_col).alias("_text")).select(key_col, low.alias("_low"))
-    flags = F.filter(F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in wanted)), lambda t: t.isNotNull())
-    return found.select(key_col, F.explode(flags).alias("trigram"))
+    return docs.select(F.col(key_col), F.explode(_found(text_column(docs, text_col), _wanted(rules))).alias("trigram"))
 
 
-def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, key_col: str = "_key") -> DataFrame:
-    """Documents with the kinds whose queries their postings satisfy. Postings become bits, and meet in one OR by document."""
-    wanted = sorted({t for r in rules for q in r.queries() for t in q})
-    assert len(wanted) <= 126, "two words of bits"
-    bit = {t: (i // 63, 1 << (i % 63)) for i, t in enumerate(wanted)}
-    words = []
-    for w in (0, 1):
-        mapping = [(t, b) for t, (at, b) in bit.items() if at == w]
-        case = F.lit(0).cast("long")
-        for t, b in mapping:
-            case = F.when(F.col("trigram") == t, F.lit(b).cast("long")).otherwise(case)
-        words.append(F.bit_or(case).alias(f"_bits{w}"))
-    met = index.groupBy(key_col).agg(*words)
+def _words(found: Column, wanted: list[str]) -> list[Column]:
+    """An array of trigrams as words of bits."""
+    zero = F.lit(0).cast("long")
+
+    def word(part: list[str]) -> Column:
+        bit = F.create_map(*(x for i, t in enumerate(part) for x in (F.lit(t), F.lit(1 << i).cast("long"))))
+        return F.aggregate(found, zero, lambda a, t: a.bitwiseOR(F.coalesce(bit[t], zero)))
+
+    return [word(wanted[w : w + WORD]) for w in range(0, len(wanted), WORD)]
+
+
+def _kinds(rules: tuple[SecretRule, ...], wanted: list[str], words: list[Column]) -> Column:
+    """The kinds whose queries the words of bits satisfy."""
+    place = {t: divmod(i, WORD) for i, t in enumerate(wanted)}
 
     def holds(query: list[str]) -> Column:
         out = F.lit(True)
-        for w in (0, 1):
-            if mask := sum(bit[t][1] for t in query if bit[t][0] == w):
-                out = out & (F.col(f"_bits{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+        for w, bits in enumerate(words):
+            if mask := sum(1 << place[t][1] for t in query if place[t][0] == w):
+                out = out & (bits.bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
         return out
 
     kinds = []
@@ -91,7 +105,16 @@ def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, key_c
             for q in queries[1:]:
                 some = some | holds(q)
             kinds.append(F.when(some, F.lit(r.kind)))
-    return met.select(key_col, F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("_kinds")).where(F.size("_kinds") > 0)
+    return F.filter(F.array(*kinds), lambda k: k.isNotNull()) if kinds else F.array().cast("array<string>")
+
+
+def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, key_col: str = "_key") -> DataFrame:
+    """Documents of a kept index with the kinds whose queries their postings satisfy. Postings become bits, and meet in one OR by document."""
+    wanted = _wanted(rules)
+    words = [F.bit_or(w).alias(f"_bits{i}") for i, w in enumerate(_words(F.array("trigram"), wanted))]
+    met = index.groupBy(key_col).agg(*words) if words else index.select(key_col).distinct()
+    found = _kinds(rules, wanted, [F.col(f"_bits{i}") for i in range(len(words))])
+    return met.select(key_col, found.alias("_kinds")).where(F.size("_kinds") > 0)
 
 
 def spans_of(text: Column, rule: SecretRule, order: int) -> Column:
@@ -119,27 +142,30 @@ def spans_of(text: Column, rule: SecretRule, order: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with `spans`: structs (start, order, end, kind) in that order."""
     docs = docs.drop(*ADDED)
-    text = text_column(docs, text_col)
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), F.xxhash64(docs[id_col], text).alias("_key"))
-    with_queries = [r for r in rules if r.queries()]
-    found = candidates(postings(docs.select(text.alias("_text"), F.xxhash64(docs[id_col], text).alias("_key")), rules, text_col="_text"), rules)
-    joined = keyed.join(found, "_key", "left")
-    text = F.coalesce(F.col("_doc")[text_col].cast("string"), F.lit(""))
+    return _scanned(docs, rules, text_col).select("_doc.*", "spans")
+
+
+def _scanned(docs: DataFrame, rules: tuple[SecretRule, ...], text_col: str) -> DataFrame:
+    """`_doc`, the whole row, and `spans`. Each step is a column of its own: postings, their bits, kinds, spans."""
+    wanted = _wanted(rules)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), text_column(docs, text_col).alias("_text"))
+    rows = rows.withColumn("_posted", _found(F.col("_text"), wanted))
+    words = _words(F.col("_posted"), wanted)
+    rows = rows.select("_doc", "_text", F.when(F.size("_posted") > 0, F.array(*words)).alias("_bits")) if words else rows.select("_doc", "_text", F.lit(None).cast("array<long>").alias("_bits"))
+    rows = rows.withColumn("_kinds", F.when(F.col("_bits").isNotNull(), _kinds(rules, wanted, [F.col("_bits")[i] for i in range(len(words))])).otherwise(F.array().cast("array<string>")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     spans = []
     for order, rule in enumerate(rules):
-        here = spans_of(text, rule, order)
-        if rule in with_queries:
-            here = F.when(F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), rule.kind), here).otherwise(none)
-        spans.append(here)
-    return joined.select("_doc.*", F.array_sort(F.concat(*spans)).alias("spans"))
+        here = spans_of(F.col("_text"), rule, order)
+        spans.append(F.when(F.array_contains("_kinds", rule.kind), here).otherwise(none) if rule.queries() else here)
+    return rows.select("_doc", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by a mark (overlapping spans by one); null texts stay null, and
+    """The documents, all their columns as they are, with every span replaced by a mark (overlapping spans by one); null texts stay null, and
     n_chars, where it is a column, is counted anew for texts that change."""
-    found = scan(docs, rules, id_col=id_col, text_col=text_col)
-    text = F.col(text_col).cast("string")
+    found = _scanned(docs, rules, text_col)
+    text = F.col("_doc")[text_col].cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -150,7 +176,7 @@ def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, mark: st
 
     rest = F.aggregate("spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     changed = F.size("spans") > 0
-    out = found.select(F.struct(*(found[c] for c in docs.columns if c not in ADDED)).alias("_doc"), F.when(changed, rest).otherwise(text).alias("_new"), changed.alias("_changed"))
+    out = found.select("_doc", F.when(changed, rest).otherwise(text).alias("_new"), changed.alias("_changed"))
     old = lambda c: F.col("_doc")[c]
-    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_changed"), F.char_length("_new").cast(t)).otherwise(old(c)).alias(c) if c == "n_chars" else old(c).alias(c) for c, t in docs.dtypes if c not in ADDED]
+    columns = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_changed"), F.char_length("_new").cast(t)).otherwise(old(c)).alias(c) if c == "n_chars" else old(c).alias(c) for c, t in docs.dtypes]
     return out.select(*columns)
