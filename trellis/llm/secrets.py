@@ -4,10 +4,9 @@ From each rule's regex a Boolean query over trigrams is derived, as in regular-e
 (Cox, 2012): `trigrams.query` parses the regex and gives alternatives, each a set of trigrams that a text must hold, compared in
 lower case, so that it never misses. A rule without a mandatory trigram has no query and is run on every text.
 
-The trigrams that some rule asks for are taken from a text by one regex over the lower-case text. They are the
-document's postings; `postings` gives them as a table (trigram, document), the index, and `candidates` intersects that
-by one aggregation over documents, for an index that is kept. As all postings of a document come from its own row, `scan` intersects them
-there, by bits, before anything moves: no text is shuffled. Candidates are then matched by the regex itself.
+`postings` gives the trigrams that some rule asks for as a table (trigram, document), the index, and `candidates` intersects
+that by one aggregation over documents, for an index that is kept. As all postings of a document come from its own row, `scan` intersects them
+there, rarest first and only as far as they go on holding, before anything moves: no text is shuffled. Candidates are then matched by the regex itself.
 
 Offsets are code points, end exclusive. Matches of a rule are leftmost and do not overlap; those that are too
 short are dropped after matching, so they still use up their text, as the rules state. `hex` is a run of 16 or more
@@ -19,6 +18,7 @@ named like the results are replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,16 +64,11 @@ def _wanted(rules: tuple[SecretRule, ...]) -> list[str]:
     return sorted({t for r in rules for q in r.queries() for t in q})
 
 
-def _found(text: Column, wanted: list[str]) -> Column:
-    """The wanted trigrams that a text holds, each once: by one regex, which looks ahead at each place."""
-    if not wanted:
-        return F.array().cast("array<string>")
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(trigrams.any_of(wanted)), F.lit(1)))
-
-
 def postings(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, text_col: str = "text", key_col: str = "_key") -> DataFrame:
     """The index: trigram and document, for the trigrams that the rules ask for."""
-    return docs.select(F.col(key_col), F.explode(_found(text_column(docs, text_col), _wanted(rules))).alias("trigram"))
+    rows = docs.select(F.col(key_col), F.lower(text_column(docs, text_col)).alias("_low"))
+    found = F.filter(F.array(*(F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in _wanted(rules))), lambda t: t.isNotNull())
+    return rows.select(F.col(key_col), F.explode(found).alias("trigram"))
 
 
 def _words(found: Column, wanted: list[str]) -> list[Column]:
@@ -87,17 +82,8 @@ def _words(found: Column, wanted: list[str]) -> list[Column]:
     return [word(wanted[w : w + WORD]) for w in range(0, len(wanted), WORD)]
 
 
-def _kinds(rules: tuple[SecretRule, ...], wanted: list[str], words: list[Column]) -> Column:
-    """The kinds whose queries the words of bits satisfy."""
-    place = {t: divmod(i, WORD) for i, t in enumerate(wanted)}
-
-    def holds(query: list[str]) -> Column:
-        out = F.lit(True)
-        for w, bits in enumerate(words):
-            if mask := sum(1 << place[t][1] for t in query if place[t][0] == w):
-                out = out & (bits.bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        return out
-
+def _kinds(rules: tuple[SecretRule, ...], holds: Callable[[list[str]], Column]) -> Column:
+    """The kinds of which some alternative holds."""
     kinds = []
     for r in rules:
         if queries := r.queries():
@@ -113,7 +99,16 @@ def candidates(index: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, key_c
     wanted = _wanted(rules)
     words = [F.bit_or(w).alias(f"_bits{i}") for i, w in enumerate(_words(F.array("trigram"), wanted))]
     met = index.groupBy(key_col).agg(*words) if words else index.select(key_col).distinct()
-    found = _kinds(rules, wanted, [F.col(f"_bits{i}") for i in range(len(words))])
+    place = {t: divmod(i, WORD) for i, t in enumerate(wanted)}
+
+    def holds(query: list[str]) -> Column:
+        out = F.lit(True)
+        for w in range(len(words)):
+            if mask := sum(1 << place[t][1] for t in query if place[t][0] == w):
+                out = out & (F.col(f"_bits{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+        return out
+
+    found = _kinds(rules, holds)
     return met.select(key_col, found.alias("_kinds")).where(F.size("_kinds") > 0)
 
 
@@ -147,12 +142,16 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str
 
 def _scanned(docs: DataFrame, rules: tuple[SecretRule, ...], text_col: str) -> DataFrame:
     """`_doc`, the whole row, and `spans`. Each step is a column of its own: postings, their bits, kinds, spans."""
-    wanted = _wanted(rules)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), text_column(docs, text_col).alias("_text"))
-    rows = rows.withColumn("_posted", _found(F.col("_text"), wanted))
-    words = _words(F.col("_posted"), wanted)
-    rows = rows.select("_doc", "_text", F.when(F.size("_posted") > 0, F.array(*words)).alias("_bits")) if words else rows.select("_doc", "_text", F.lit(None).cast("array<long>").alias("_bits"))
-    rows = rows.withColumn("_kinds", F.when(F.col("_bits").isNotNull(), _kinds(rules, wanted, [F.col("_bits")[i] for i in range(len(words))])).otherwise(F.array().cast("array<string>")))
+
+    def holds(query: list[str]) -> Column:
+        first, *rest = trigrams.rarest_first(query)
+        out = F.contains("_low", F.lit(first))
+        for t in rest:
+            out = out & F.contains("_low", F.lit(t))
+        return out
+
+    rows = rows.withColumn("_low", F.lower("_text")).select("_doc", "_text", _kinds(rules, holds).alias("_kinds"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     spans = []
     for order, rule in enumerate(rules):
