@@ -72,6 +72,8 @@ def settled(df: DataFrame) -> DataFrame:
         if name.startswith("Scan ") and "FileSourceScan" in node.getClass().getSimpleName():
             return True
         if name == "BroadcastExchange":
+            return steady(node.children().apply(0))
+        if name == "Range":
             return True
         if name == "AdaptiveSparkPlan":
             return steady(node.inputPlan())
