@@ -43,3 +43,30 @@ def test_members_of_large_buckets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert got == want
+
+
+def test_prefixes_by_size():
+    """Two sizes that may be similar enough meet in each other's class, with prefixes at least as long as their overlap needs."""
+
+    def size_class(n):
+        return int(np.searchsorted(near_dedup.SIZES, n, "right")) - 1
+
+    every = list(range(len(near_dedup.SIZES) - 1))
+    for n in range(1, 200):
+        found = dict(near_dedup.prefixes_by_size(n, size_class(n), every))
+        for m in range(1, 260):
+            if 5 * min(n, m) >= 4 * max(n, m):
+                assert found[size_class(m)] >= n - -(-4 * (n + m) // 9) + 1
+
+
+def test_buckets_beyond_the_limit(spark):
+    """24,000 texts alike by 0.73, whose buckets exceed the limit, and 100 that have half of the own words of one of them."""
+    common = " ".join(f"w{i}" for i in range(136))
+    rows = [(i, common + " " + " ".join(f"x{i}a{j}" for j in range(24))) for i in range(24_000)]
+    want = {i: i for i, _ in rows}
+    for k, i in enumerate(np.random.default_rng(8).choice(24_000, 100, replace=False).tolist()):
+        rows.append((1_000_000 + k, common + " " + " ".join([f"x{i}a{j}" for j in range(12)] + [f"y{i}b{j}" for j in range(12)])))
+        want[1_000_000 + k] = i  # 144 of 156 shingles in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want

@@ -13,11 +13,13 @@ each give keys; at similarity 0.8 a pair shares none of them with a probability
 
 Copies are first made one node by digest. Nodes that share a key are never paired with one another outright: each bucket
 compares its members with one leader, and links make components. What remains are buckets whose members lie in several
-components: texts that are alike but mostly not enough. Those of more than `LARGE` such members are dealt anew by an exact
-prefix filter: two texts of similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 elements of each of
-them (n elements, the k-th copy of a shingle an element of its own) in any one order of all elements. The order puts frequent
+components: texts that are alike but mostly not enough. The members of those of more than `LARGE` are dealt anew by an exact
+prefix filter: two texts of n and m elements (the k-th copy of a shingle is an element of its own) and similarity 0.8 or more
+have at least a = 4 (n + m) / 9 elements in common, so they share one of the first n - a + 1 and m - a + 1 in any one order of all elements.
+The texts are put in classes of nearly equal n, and a text is dealt once for each class that its partners may be in, under the
+elements of the prefix for the least m there. The order puts frequent
 elements last; which are frequent is a list of at most `FREQUENT`, so texts meet in small groups, under elements that are
-rare. Whatever the sizes, each remaining bucket is dealt in chunks of at most `CHUNK` members; a task has the texts of two chunks at a time and
+rare. As this finds every link between two such members, smaller buckets that hold nothing else are left out. Whatever the sizes, each remaining bucket is dealt in chunks of at most `CHUNK` members; a task has the texts of two chunks at a time and
 counts all overlaps across components exactly; it gives only the links that join components further, at most one for each member.
 So every pair that shares a key is tested or lies within a component, at any size of bucket. All comparisons are made on the
 texts, counts and all. Joins on keys that many rows share are salted.
@@ -46,7 +48,9 @@ BANDS, ROWS = 40, 6
 #: Members of a bucket that one task compares with as many others.
 CHUNK = 512
 #: Buckets of more members than this, in several components, are dealt anew by rare elements.
-LARGE = 8192
+LARGE = 1024
+#: The least number of elements of each class of sizes; every one is about a twelfth above the one before.
+SIZES = np.unique(np.floor(1.08 ** np.arange(300)).astype(np.int64))
 #: At most so many elements are known as frequent: those of more than that part of all occurrences.
 FREQUENT = 500_000
 ADDED = ["class_id", "class_rows"]
@@ -166,7 +170,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     roots = kept(components(links), "roots")
     members = _mixed(members.select("key", "node"), roots)
     if members.where(F.col("n") > LARGE).limit(1).count():
-        members = members.where(F.col("n") <= LARGE).select("key", "node").unionByName(_by_rare_elements(members.where(F.col("n") > LARGE).select("node").distinct(), texts))
+        dealt = kept(members.where(F.col("n") > LARGE).select("node").distinct(), "dealt")
+        small = members.where(F.col("n") <= LARGE).select("key", "node").join(dealt.withColumn("dealt", F.lit(True)), "node", "left")
+        small = small.join(small.where("dealt is null").select("key").distinct(), "key", "left_semi").select("key", "node")
+        members = small.unionByName(_by_rare_elements(dealt, texts))
         members = _mixed(kept(members, "members"), roots)
         leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "root")).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
         pairs = salted_join(members, leaders, "key", "node", members.groupBy("key").count().withColumnRenamed("count", "n"), members.count()).where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
@@ -193,14 +200,16 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's elements: its shingles, the k-th copy of one an element of its own."""
+    """Each text's elements (its shingles, the k-th copy of one an element of its own), and the class of their number."""
     for whole in batches:
         for batch in slices(whole, "text", 2_000_000):
             rows, elements = _expanded(*multisets(batch.column("text"))[:3])
             order = np.argsort(rows, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))])
+            many = np.bincount(rows, minlength=batch.num_rows)
+            ends = np.concatenate([[0], np.cumsum(many)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "elements"])
+            sizes = np.searchsorted(SIZES, many, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), lists], names=["node", "size", "elements"])
 
 
 def _expanded(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +218,22 @@ def _expanded(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[
     return np.repeat(rows, counts), mix64(np.repeat(grams, counts) + copy.astype(_U) * _U(0x8EBC6AF09C88C6E3))
 
 
+def prefixes_by_size(n: int, mine: int, there: list[int]) -> list[tuple[int, int]]:
+    """For a text of n elements, in class `mine`: the classes of `there` that partners may be in, and the length of the prefix
+    for each."""
+    out = []
+    for other in there:
+        low, high = int(SIZES[other]), int(SIZES[other + 1]) - 1
+        least = max(low, -(-LEAST_NUMERATOR * n // LEAST_DENOMINATOR))  # of the partner's elements
+        if least <= high and LEAST_NUMERATOR * least <= LEAST_DENOMINATOR * n:
+            out.append((other, n - -(-LEAST_NUMERATOR * (n + least) // (LEAST_NUMERATOR + LEAST_DENOMINATOR)) + 1))
+    return out
+
+
 def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and node: each node under the elements of its prefix that another node has too."""
-    listed = kept(texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, elements array<long>"), "elements")
+    """key and node: each node under those pairs of classes and elements of its prefixes that another node has too."""
+    listed = kept(texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, size int, elements array<long>"), "elements")
+    there = sorted(r["size"] for r in listed.select("size").distinct().collect())  # of at most len(SIZES)
     total = listed.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
     # occurrences sum to `total`, so at most FREQUENT elements have more than its FREQUENT-th part
     often = listed.select(F.explode("elements").alias("e")).groupBy("e").count().where(F.col("count") > max(8, -(-total // FREQUENT))).toArrow()
@@ -223,12 +245,14 @@ def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("elements")
             keys, nodes_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for node, mine in zip(batch.column("node").to_pylist(), (lists[i].values.to_numpy() for i in range(len(lists))), strict=True):
+            for node, size, mine in zip(batch.column("node").to_pylist(), batch.column("size").to_pylist(), (lists[i].values.to_numpy() for i in range(len(lists))), strict=True):
                 at = np.minimum(np.searchsorted(names, mine), max(0, len(names) - 1))
                 seen = np.where(names[at] == mine, counts[at], 0) if len(names) else np.zeros(len(mine), np.int64)
-                first = np.lexsort((mine, seen))[: len(mine) - -(-LEAST_NUMERATOR * len(mine) // LEAST_DENOMINATOR) + 1]
-                keys.append(mine[first])
-                nodes_of.append(np.full(len(first), node))
+                ordered = mine[np.lexsort((mine, seen))].view(_U)
+                for other, length in prefixes_by_size(len(mine), size, there):
+                    pair = mix64(np.array([min(size, other) * len(SIZES) + max(size, other)], _U))
+                    keys.append(mix64(ordered[:length] ^ pair).view(np.int64))
+                    nodes_of.append(np.full(length, node))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes_of))], names=["key", "node"])
 
     found = kept(listed.mapInArrow(prefixes, "key long, node long"), "prefixes")
