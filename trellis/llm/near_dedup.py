@@ -170,11 +170,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     roots = kept(components(links), "roots")
     members = _mixed(members.select("key", "node"), roots)
     if members.where(F.col("n") > LARGE).limit(1).count():
-        dealt = kept(members.where(F.col("n") > LARGE).select("node").distinct(), "dealt")
-        small = members.where(F.col("n") <= LARGE).select("key", "node").join(dealt.withColumn("dealt", F.lit(True)), "node", "left")
-        small = small.join(small.where("dealt is null").select("key").distinct(), "key", "left_semi").select("key", "node")
-        members = small.unionByName(_by_rare_elements(dealt, texts))
-        members = _mixed(kept(members, "members"), roots)
+        dealt = kept(members.where(F.col("n") > LARGE).select("node", "root").distinct(), "dealt")
+        small = members.where(F.col("n") <= LARGE).select("key", "node", "root").join(dealt.select("node", F.lit(True).alias("dealt")), "node", "left")
+        small = small.join(small.where("dealt is null").select("key").distinct(), "key", "left_semi").select("key", "node", "root")
+        members = kept(small.unionByName(_by_rare_elements(dealt, texts)), "members")
         leaders = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "root")).alias("l")).select("key", F.col("l.node").alias("l"), F.col("l.root").alias("root_l"))
         pairs = salted_join(members, leaders, "key", "node", members.groupBy("key").count().withColumnRenamed("count", "n"), members.count()).where("node <> l and root <> root_l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
         links = links.unionByName(kept(_verify(pairs.distinct(), texts), "tested").where("linked").select("a", "b"))
@@ -209,7 +208,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum(many)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements[order].view(np.int64)))
             sizes = np.searchsorted(SIZES, many, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), lists], names=["node", "size", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(sizes, pa.int32()), lists], names=["node", "root", "size", "elements"])
 
 
 def _expanded(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +230,9 @@ def prefixes_by_size(n: int, mine: int, there: list[int]) -> list[tuple[int, int
 
 
 def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and node: each node under those pairs of classes and elements of its prefixes that another node has too."""
-    listed = kept(texts.join(nodes, "node", "left_semi").mapInArrow(_elements, "node long, size int, elements array<long>"), "elements")
+    """key, node and root: each of the nodes (node, root) under those pairs of classes and elements of its prefixes that a node
+    of another root has too."""
+    listed = kept(texts.join(nodes, "node").mapInArrow(_elements, "node long, root long, size int, elements array<long>"), "elements")
     there = sorted(r["size"] for r in listed.select("size").distinct().collect())  # of at most len(SIZES)
     total = listed.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
     # occurrences sum to `total`, so at most FREQUENT elements have more than its FREQUENT-th part
@@ -244,20 +244,21 @@ def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         names, counts = known.value
         for batch in batches:
             lists = batch.column("elements")
-            keys, nodes_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for node, size, mine in zip(batch.column("node").to_pylist(), batch.column("size").to_pylist(), (lists[i].values.to_numpy() for i in range(len(lists))), strict=True):
+            keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row, size, mine in zip(range(batch.num_rows), batch.column("size").to_pylist(), (lists[i].values.to_numpy() for i in range(len(lists))), strict=True):
                 at = np.minimum(np.searchsorted(names, mine), max(0, len(names) - 1))
                 seen = np.where(names[at] == mine, counts[at], 0) if len(names) else np.zeros(len(mine), np.int64)
                 ordered = mine[np.lexsort((mine, seen))].view(_U)
                 for other, length in prefixes_by_size(len(mine), size, there):
                     pair = mix64(np.array([min(size, other) * len(SIZES) + max(size, other)], _U))
                     keys.append(mix64(ordered[:length] ^ pair).view(np.int64))
-                    nodes_of.append(np.full(length, node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes_of))], names=["key", "node"])
+                    rows.append(np.full(length, row))
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("node").take(at), batch.column("root").take(at)], names=["key", "node", "root"])
 
-    found = kept(listed.mapInArrow(prefixes, "key long, node long"), "prefixes")
-    by = found.groupBy("key").agg(F.count("*").alias("n"))
-    return salted_join(found, by.where("n > 1").select("key"), "key", "node", by, found.count())
+    found = kept(listed.mapInArrow(prefixes, "key long, node long, root long"), "prefixes")
+    by = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return salted_join(found, by.where("low <> high").select("key"), "key", "node", by, found.count())
 
 
 def _chunks(members: DataFrame, texts: DataFrame) -> DataFrame:
