@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, html_text, kneser_ney, licenses, near_dedup, quality_rules, secrets, sharding, warc
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
