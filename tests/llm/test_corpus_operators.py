@@ -257,18 +257,33 @@ def test_license_scan(spark, small, edge):
         assert {x["license"] for x in r["licenses"]} == {n for n, t in licenses.TEMPLATES if contains_brute(r["text"] or "", t)}
     assert any(r["licenses"] for r in rows)
     words = [f"w{i}" for i in range(400)]
-    whole = [(n, " ".join(words) + " " + t + " " + " ".join(words[:k])) for k, (n, t) in enumerate(licenses.TEMPLATES)]
-    broken = [(n, t.replace(" the ", " the extra ", 1).upper()) for n, t in licenses.TEMPLATES if len(t) > 200]
-    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(whole + broken)], "doc_id long, text string")
-    for most in (licenses.MOST_WORDS, 20):
+    for most, templates in ((licenses.MOST_WORDS, licenses.TEMPLATES), (20, licenses.TEMPLATES[:12])):  # the latter in a pass for each
+        whole = [(n, " ".join(words) + " " + t + " " + " ".join(words[:k])) for k, (n, t) in enumerate(templates)]
+        broken = [(n, t.replace(" the ", " the extra ", 1).upper()) for n, t in templates if len(t) > 200]
+        table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(whole + broken)], "doc_id long, text string")
         licenses.MOST_WORDS, old = most, licenses.MOST_WORDS
-        for r in licenses.scan(table).collect():
+        for r in licenses.scan(table, templates).collect():
             assert (whole + broken)[r["doc_id"]][0] in {x["license"] for x in r["licenses"]}
         licenses.MOST_WORDS = old
     assert all(not r["licenses"] for r in licenses.scan(edge).collect())
     assert licenses.scan(edge.limit(0)).count() == 0 and licenses.scan(table, []).where(F.size("licenses") > 0).count() == 0
 
 
+def test_licenses_in_altered_copies(spark):
+    """Copies with words changed, from whole ones to ones below the least containment: what brute force finds, and no more."""
+    rng, rows = np.random.default_rng(5), []
+    for _, t in licenses.TEMPLATES:
+        for changes in range(5):
+            copy = t.split()
+            for k in rng.integers(0, len(copy), changes):
+                copy[k] = "other"
+            rows.append((len(rows), " ".join([f"w{i}" for i in range(int(rng.integers(0, 300)))] + copy + ["tail"] * int(rng.integers(0, 9)))))
+    found = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert found[i] == {n for n, t in licenses.TEMPLATES if contains_brute(text, t)}
+    assert any(not x for x in found.values())
+
+
 def test_html_leaves():
     page = "<html><head><title>t</title></head><body><div class='Menu'>x&amp;y <a href='/'>z</a></div><article><h1>One  \n two</h1><p>a<br>b<p>c <b>d</b>e<!-- <p>no -->f<script>var p='</p>';</script></article>tail &eacute;&#233;"
     found = html_text.leaves(page)

@@ -9,6 +9,8 @@ probability below 0.0018 in that worst case, and below 1e-6 for whole occurrence
 (similarity 0.25 or more). Candidates are then compared shingle by shingle: a window holds a template if at least
 `LEAST` of the template's distinct shingles are in it. Runs of windows that hold it are one finding.
 
+A template that is part of a longer one is found in it too.
+
 Templates are a parameter, checked to be at most `MOST_WORDS` words in all, as their bands go to every task; more of
 them are taken in several passes. Nulls and texts without words have no findings. Repeated rows are judged each for
 itself. Columns named like the results are replaced. Empty tables, or no templates, give no findings.
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import license_texts
 from .bytetext import ALNUM, Tokens, column_bytes, mix64, slices
 from .common import small_batches
 
@@ -33,21 +36,7 @@ BANDS = 32
 MOST_WORDS = 500_000
 FOUND = T.ArrayType(T.StructType().add("license", "string").add("start", "integer").add("end", "integer").add("containment", "double"))
 
-#: Notices and characteristic passages of public licenses, by SPDX name.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+TEMPLATES = license_texts.templates()
 
 
 @dataclass(frozen=True)
