@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
 from .bytetext import LEADS, column_bytes, slices
-from .common import kept, settled, small_batches, text_column
+from .common import forget, kept, settled, small_batches, text_column
 
 ORDER, BITS = 5, 12
 ALPHABET = (1 << BITS) - 2
@@ -245,9 +245,12 @@ def discounts(levels: DataFrame) -> DataFrame:
 
 
 def probabilities(grams: DataFrame, levels: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram and p, its last character's probability after the others, for the distinct grams given."""
+    """lang, gram and p, its last character's probability after the others, for the distinct grams given; a table.
+
+    Each order is written before the next one is joined with it: a plan of all of them is drawn anew and kept as text by
+    the driver whenever one of its stages ends, which took more of its heap than all else."""
     known = discounts(levels).withColumnRenamed("lang", "_lang")
-    least = None
+    least = last = None
     for k in range(1, order + 1):
         here = levels.where(F.col("k") == k).select("lang", "gram", "n")
         d = F.broadcast(known.where(F.col("k") == k).drop("k"))  # a row for each language
@@ -268,7 +271,10 @@ def probabilities(grams: DataFrame, levels: DataFrame, order: int = ORDER) -> Da
             wanted = _left(wanted.withColumn("suffix", F.col("gram").bitwiseAND(_mask(k - 1))), least, ["lang", "suffix"])
             lower = F.col("lower")
         p = F.when(F.col("total") > 0, F.coalesce("above", F.lit(0.0)) / F.col("total") + F.col("backoff") * lower).otherwise(lower)
-        wanted = wanted.select("lang", "gram", p.alias("p"))
+        wanted = kept(wanted.select("lang", "gram", p.alias("p")), "gram-probabilities")
+        if last is not None:
+            forget(last)
+        last = wanted
         least = wanted.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
     return wanted
 
@@ -314,7 +320,9 @@ def scored(docs: DataFrame, levels: DataFrame, books: Alphabets, *, text_col: st
     languages = levels.where(F.col("k") == 1).select(F.col("lang").alias("_known")).distinct()
     lower = lists.groupBy("shard").applyInArrow(suffixes, "lang string, gram long")
     lower = lower.join(F.broadcast(languages), F.col("lang").eqNullSafe(F.col("_known")), "left_semi")  # a row for each language
-    lower = probabilities(lower, levels, order - 1)
+    suffix_table = kept(lower, "suffixes")
+    lower = probabilities(suffix_table, levels, order - 1)
+    forget(suffix_table)
     known = discounts(levels).where(F.col("k") == order).drop("k").withColumnRenamed("lang", "_of")
     top = levels.where(F.col("k") == order).join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("_of")))
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
