@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
-from .common import settled, small_batches
+from .common import lean, lean_cogroup, settled, small_batches
 
 ADDED = T.StructType().add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 _WORDS = "shard int, block long, check long, words binary"
@@ -172,10 +172,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema_table = to_arrow_schema(schema).empty_table()
-    sharded = docs.select(text_col).mapInArrow(words, _WORDS)
-    filled = sharded.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(fill, _FILLED)
-    placed = docs.select(*stay, *([] if keep_text else [text_col])).mapInArrow(places, _PLACES)
-    return filled.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(put_together, schema)
+    sharded = docs.select(text_col).mapInArrow(lean(words), _WORDS)
+    filled = sharded.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(fill), _FILLED)
+    placed = docs.select(*stay, *([] if keep_text else [text_col])).mapInArrow(lean(places), _PLACES)
+    return filled.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(lean_cogroup(put_together), schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import _FOLDED, _MIX_A, ALNUM, Tokens, column_bytes, mix64, n_tokens, sliding_min, slices
-from .common import kept, salted_join, small_batches
+from .common import kept, lean, salted_join, small_batches
 
 WINDOW, K = 13, 5
 #: Rows of the benchmark's tables that are broadcast at most: fingerprints have 8 bytes, windows some 100.
@@ -168,7 +168,7 @@ def _suspects(docs: DataFrame, bloom, lengths: list[int]) -> DataFrame:
                 digests = [hashlib.md5(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), texts, pa.array(words.counts[rows], pa.int64()), lists], names=["digest", "text", "n_words", "prints"])
 
-    return docs.mapInArrow(work, SUSPECT).dropDuplicates(["digest"])
+    return docs.mapInArrow(lean(work), SUSPECT).dropDuplicates(["digest"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
     suspects = kept(_suspects(texts, bloom, lengths), "suspects")
     met = _joined(suspects.select("digest", F.explode("prints").alias("p")).select("digest", "p.*"), prints.select("print"), "print", "digest", few_prints, n_prints)
     matched = met.groupBy("digest").agg(F.collect_list(F.struct("length", "at")).alias("matched"))
-    extended = suspects.drop("prints").join(matched, "digest").mapInArrow(_extended, "digest binary, n_words long, length int, start int, hash long, words binary")
+    extended = suspects.drop("prints").join(matched, "digest").mapInArrow(lean(_extended), "digest binary, n_words long, length int, start int, hash long, words binary")
     held = _joined(extended, windows, "hash", "digest", few_windows, n_windows)
     held = held.select("digest", "n_words", "start", "length", F.filter("known", lambda k: (k["length"] == F.col("length")) & (k["words"] == F.col("words"))).alias("known")).where(F.size("known") > 0)
     spans, names = F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))), F.collect_set(F.transform("known", lambda k: k["item"]))
@@ -268,7 +268,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             for batch in slices(whole, "_text"):
                 yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("digest"), pa.array(n_tokens(*column_bytes(batch.column("_text")), ALNUM), pa.int64())], names=schema.names)
 
-    out = _with_verdicts(rows.mapInArrow(counted, schema), found)
+    out = _with_verdicts(rows.mapInArrow(lean(counted), schema), found)
     spans = F.coalesce("hit_spans", F.array().cast("array<struct<start:int,end:int>>"))
     out = out.select("_doc.*", F.col("_n").alias("n_words"), spans.alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     out = out.withColumn("n_hit", n_hit("hit_spans")).withColumn("n_items", F.size("items").cast("long"))

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from .blocks import blocks, checksum, packed, released, squeezed, unpacked
 from .bytetext import LEADS, column_bytes, slices
-from .common import forget, kept, settled, small_batches, text_column
+from .common import forget, kept, lean, lean_cogroup, lean_group, settled, small_batches, text_column
 
 ORDER, BITS = 5, 12
 ALPHABET = (1 << BITS) - 2
@@ -120,7 +120,7 @@ def alphabets(docs: DataFrame, *, text_col: str, lang_col: str, most: int = ALPH
                     name = next(x for x, y in zip(batch.column(lang_col).to_pylist(), langs, strict=True) if y == lang)
                     yield pa.RecordBatch.from_arrays([pa.array([_language(name)] * len(chars), pa.string()), pa.array(chars.astype(np.int32)), pa.array(many[chars])], names=["lang", "char", "n"])
 
-    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(work, "lang string, char int, n long")
+    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(lean(work), "lang string, char int, n long")
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "char")  # a language has no more characters than there are code points
     rows = found.groupBy("lang", "char").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
     rows = rows.groupBy("lang").agg(F.array_sort(F.collect_list("char")).alias("chars")).collect()
@@ -211,8 +211,8 @@ def gram_counts(docs: DataFrame, books: Alphabets, *, text_col: str, lang_col: s
             out.append(pa.table({"lang": pa.array([lang] * len(grams), pa.string()), "gram": grams, "n": many}))
         return pa.concat_tables(out)
 
-    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(work, "shard int, lang string, grams binary, counts binary")
-    return found.groupBy("shard").applyInArrow(total, "lang string, gram long, n long")
+    found = docs.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(lean(work), "shard int, lang string, grams binary, counts binary")
+    return found.groupBy("shard").applyInArrow(lean_group(total), "lang string, gram long, n long")
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,9 +316,9 @@ def scored(docs: DataFrame, levels: DataFrame, books: Alphabets, *, text_col: st
         langs = pa.concat_arrays([pa.array([k] * len(v), pa.string()) for k, v in out.items()])
         return pa.table({"lang": langs, "gram": pa.array(np.concatenate([*out.values()]), pa.int64())})
 
-    lists = kept(use.select("_text", "_lang").mapInArrow(distinct, "shard int, block long, check long, lang string, grams binary"), "grams-by-block")
+    lists = kept(use.select("_text", "_lang").mapInArrow(lean(distinct), "shard int, block long, check long, lang string, grams binary"), "grams-by-block")
     languages = levels.where(F.col("k") == 1).select(F.col("lang").alias("_known")).distinct()
-    lower = lists.groupBy("shard").applyInArrow(suffixes, "lang string, gram long")
+    lower = lists.groupBy("shard").applyInArrow(lean_group(suffixes), "lang string, gram long")
     lower = lower.join(F.broadcast(languages), F.col("lang").eqNullSafe(F.col("_known")), "left_semi")  # a row for each language
     suffix_table = kept(lower, "suffixes")
     lower = probabilities(suffix_table, levels, order - 1)
@@ -343,7 +343,7 @@ def scored(docs: DataFrame, levels: DataFrame, books: Alphabets, *, text_col: st
         at = pa.array([c[0] for c in cells], pa.int64())
         return left.select(["block", "check", "lang", "shard"]).take(at).append_column("logs", pa.array([c[1] for c in cells], pa.binary())).append_column("ratios", pa.array([c[2] for c in cells], pa.binary()))
 
-    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(back, "block long, check long, lang string, shard int, logs binary, ratios binary")
+    lined = lists.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(lean_cogroup(back), "block long, check long, lang string, shard int, logs binary, ratios binary")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in blocks(batches, "_text"):
@@ -366,7 +366,7 @@ def scored(docs: DataFrame, levels: DataFrame, books: Alphabets, *, text_col: st
         return pa.table([*out.column("_doc").combine_chunks().flatten(), out.column("n"), out.column("log"), out.column("contrast")], names=[*stay, "n_scored", "log2_prob", "toxic_contrast"])
 
     schema = T.StructType([*(docs.schema[c] for c in stay), *ADDED.fields[:3]])
-    return lined.groupBy("block").cogroup(use.mapInArrow(ship, "block long, rows binary").groupBy("block")).applyInArrow(summed, schema)
+    return lined.groupBy("block").cogroup(use.mapInArrow(lean(ship), "block long, rows binary").groupBy("block")).applyInArrow(lean_cogroup(summed), schema)
 
 
 def _summed(table: pa.Table, known: dict[int, tuple[bytes, bytes | None]] | None, book: np.ndarray, order: int, n_shards: int, inner: int, step: int = 2_000_000) -> list[pa.Table]:

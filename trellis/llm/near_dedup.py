@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import NOT_SPACE, Tokens, column_bytes, mix64, slices
-from .common import forget, kept, salted_join, small_batches
+from .common import forget, kept, lean, salted_join, small_batches
 from .components import components
 
 SHINGLE, LEAST_NUMERATOR, LEAST_DENOMINATOR = 5, 4, 5
@@ -156,7 +156,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     use = use.withColumn("digest", digest_of(F.col("text")))
     id_type = use.schema["id"].dataType
     schema = T.StructType().add("id", id_type).add("digest", "binary").add("keys", T.ArrayType(T.LongType()))
-    signed = use.mapInArrow(_signed, schema)
+    signed = use.mapInArrow(lean(_signed), schema)
     nodes = kept(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.any_value("keys").alias("keys")), "nodes")
     seed = _seed(nodes)
     node = F.xxhash64("digest", F.lit(seed)).alias("node")
@@ -232,7 +232,7 @@ def prefixes_by_size(n: int, mine: int, there: list[int]) -> list[tuple[int, int
 def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """key, node and root: each of the nodes (node, root) under those pairs of classes and elements of its prefixes that a node
     of another root has too."""
-    listed = kept(texts.join(nodes, "node").mapInArrow(_elements, "node long, root long, size int, elements array<long>"), "elements")
+    listed = kept(texts.join(nodes, "node").mapInArrow(lean(_elements), "node long, root long, size int, elements array<long>"), "elements")
     there = sorted(r["size"] for r in listed.select("size").distinct().collect())  # of at most len(SIZES)
     total = listed.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
     # occurrences sum to `total`, so at most FREQUENT elements have more than its FREQUENT-th part
@@ -256,7 +256,7 @@ def _by_rare_elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("node").take(at), batch.column("root").take(at)], names=["key", "node", "root"])
 
-    found = kept(listed.mapInArrow(prefixes, "key long, node long, root long"), "prefixes")
+    found = kept(listed.mapInArrow(lean(prefixes), "key long, node long, root long"), "prefixes")
     by = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     return salted_join(found, by.where("low <> high").select("key"), "key", "node", by, found.count())
 
@@ -334,7 +334,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         other = "b" if side == "a" else "a"
         by = pairs.groupBy(side).agg(F.count("*").alias("n"))
         out = salted_join(out, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side, other, by, n)
-    return out.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, linked boolean")
+    return out.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verified), "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
