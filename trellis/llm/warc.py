@@ -3,6 +3,7 @@
 Two tables hold the archive. `payloads` has each distinct payload once, under its SHA-256 digest, which is
 computed again on reading and must agree. `headers` has every record's exact header bytes, in order of nothing, with
 its payload's digest. Joining them on the digest gives the original records: header, blank line, payload, blank line.
+Files of payloads are buckets of the digest, so payloads are dealt once, on writing, and only headers move on reading.
 Records are WARC/1.1: a response, and revisits that refer to it.
 
 Of the records with equal payloads the one with the largest id is the response, the others revisit it. Equal rows
@@ -13,13 +14,14 @@ always responses, each referring to the stored copy by digest only. An empty tab
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, text_column
+from .common import hot_keys, salted_join, shared_dir, text_column
 
 #: The base32 alphabet of RFC 4648.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,18 +41,35 @@ def base32(hex_digest: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where the two tables are."""
+    """Where the two tables are, and in how many buckets of the digest the files of payloads are (none: not known)."""
 
     path: str
+    buckets: int | None = None
 
     def payloads(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("sha256 string, payload binary").parquet(f"{self.path}/payloads")
 
+    def dealt_payloads(self, spark: SparkSession) -> DataFrame:
+        """The payloads such that a join on the digest leaves them where they are. Spark knows buckets only of tables in its
+        catalogue; the entry goes as soon as the frame has the files."""
+        if not self.buckets:
+            return self.payloads(spark)
+        name, place = _table_name(), f"{self.path}/payloads".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} (sha256 STRING, payload BINARY) USING parquet CLUSTERED BY (sha256) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        try:
+            return spark.table(name)
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+
     def headers(self, spark: SparkSession) -> DataFrame:
         schema = T.StructType().add("page_id", "long").add("url", "string").add("sha256", "string").add("header", "binary")
         return spark.read.schema(schema).parquet(f"{self.path}/headers")
 
 
+def _table_name() -> str:
+    return f"spark_catalog.default.trellis_warc_{uuid.uuid4().hex}"
+
+
 def _header(record_type: Column, page_id: Column, refers: Column, url: Column, digest: Column, n_bytes: Column) -> Column:
     """The exact header bytes of a record; lines end in CR LF, and line breaks in a URL are escaped."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -79,24 +98,23 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     revisit = (F.col("_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     header = _header(kind, F.col("page_id"), F.col("_first"), F.col("url"), base32(F.col("_sha1")), F.col("_bytes"))
-    records.select("page_id", "url", "sha256", header.alias("header")).write.parquet(f"{path}/headers")
-    # each payload travels once: of the rows, only those of the records that are the first of their payload are left
-    bodies = pages.select(pages[id_col].cast("long").alias("page_id"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    named = first.withColumn("_has", F.col("_first").isNotNull()).select("sha256", F.coalesce("_first", F.lit(0)).alias("_first"), "_has")
-    mine = F.coalesce(bodies["page_id"], F.lit(0)).alias("_first")
-    bodies = bodies.select("sha256", mine, bodies["page_id"].isNotNull().alias("_has"), "payload")
-    bodies = bodies.join(named, ["sha256", "_first", "_has"], "left_semi")
-    # rows of one id and payload come more than once only if rows repeat: then, and only then, payloads move again
-    again = rows.groupBy("sha256", "page_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():
-        bodies = bodies.dropDuplicates(["sha256"])
-    bodies.select("sha256", "payload").write.parquet(f"{path}/payloads")
-    return Archive(path)
+    records.select("page_id", "url", "sha256", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    # of equal payloads any is as good; each task sends one of them at most, so a payload with many copies is no hot key
+    bodies = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("sha256"), "payload")
+    bodies = bodies.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    spark, name = pages.sparkSession, _table_name()
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    bodies.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "sha256").option("path", f"{path}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    return Archive(path, buckets)
 
 
 def verified_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
     """The stored payloads; a digest that does not agree fails the query."""
-    found = archive.payloads(spark)
+    return _verified(archive.payloads(spark))
+
+
+def _verified(found: DataFrame) -> DataFrame:
     wrong = F.concat(F.lit("payload does not match its digest "), F.col("sha256"))
     sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(wrong).cast("binary"))
     return found.select("sha256", sound.alias("payload"))
@@ -122,9 +140,24 @@ def _parsed(headers: DataFrame) -> DataFrame:
     )
 
 
+def _with_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
+    """Every header, parsed, with its payload. Headers go to the payload's bucket; those of a payload with many records are
+    parted, and for them that payload is repeated."""
+    rows, stored = _parsed(archive.headers(spark)), _verified(archive.dealt_payloads(spark))
+    counts = rows.groupBy("sha256").agg(F.count("*").alias("n"))
+    n_rows = rows.count()
+    hot, _ = hot_keys(counts, "sha256", n_rows)
+    if hot.isEmpty():
+        return rows.join(stored, "sha256", "left")
+    hot = F.broadcast(hot.select("sha256"))
+    many = salted_join(rows.join(hot, "sha256", "left_semi"), verified_payloads(spark, archive).join(hot, "sha256", "left_semi"), "sha256", "header", counts, n_rows, "left")
+    return rows.join(hot, "sha256", "left_anti").join(stored, "sha256", "left").unionByName(many)
+
+
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Every record with its parsed header, its whole payload and its exact bytes."""
-    out = _parsed(archive.headers(spark)).join(verified_payloads(spark, archive), "sha256")
+    """Every record with its parsed header, its whole payload and its exact bytes. A payload that is not there fails the query."""
+    missing = F.concat(F.lit("no payload with digest "), F.col("sha256"))
+    out = _with_payloads(spark, archive).withColumn("payload", F.coalesce("payload", F.raise_error(missing).cast("binary")))
     body = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     end = F.lit("\r\n").cast("binary")
     return out.withColumn("record", F.concat("header", end, body, end, end))
@@ -156,6 +189,4 @@ def read_checked(spark: SparkSession, archive: Archive) -> DataFrame:
 
 
 def archive_path(spark: SparkSession) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/trellis/warc-{uuid.uuid4().hex}"
